@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a key-only side up to which it is broadcast (8-byte keys: about 64 MB as a hash relation); above it the join shuffles.
-BROADCAST_ROWS = 2_000_000
-
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set and the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="meridio-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], True)
-    return f"file://{_LOCAL[0]}"
+from ..sources.shared import new_path, remove, shared_dir, written
 
+__all__ = ["BROADCAST_ROWS", "free_name", "local_path", "new_path", "remove", "shared_dir", "sized", "table", "written"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/meridio-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The frame as a table in the shared folder: cuts lineage and survives the loss of executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+#: Rows of a key-only side up to which it is broadcast (8-byte keys: about 64 MB as a hash relation); above it the join shuffles.
+BROADCAST_ROWS = 2_000_000
 
 def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The frame with a broadcast hint if it has at most `limit` rows; beyond that the planner shuffles it."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import exactdup, neardup, quality
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = quality.quality_scores(docs, trusted(spark, sf_dir), carry=["doc_id", "lang", "source"])
     return scores.where("kept").drop("kept")
+
+
+@query(
+    "op3_exact_dedup",
+    r"""
+    WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')) AS content FROM documents),
+    g AS (SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM c WHERE content IS NOT NULL GROUP BY content)
+    SELECT doc_id, n_copies FROM g UNION ALL SELECT doc_id, CAST(1 AS BIGINT) FROM c WHERE content IS NULL
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.exact_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_minhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_groups(table(spark, sf_dir, "documents"))
