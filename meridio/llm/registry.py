@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exactdup, neardup, quality
+from . import exactdup, mixing, neardup, quality
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_minhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_mix_sources")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.source_copies(docs, mixing.tempered_weights(docs)).select(F.col("id").alias("doc_id"), "source", "copies")
