@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdup, mixing, neardup, quality
+from . import bpe, exactdup, mixing, neardup, quality
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.source_copies(docs, mixing.tempered_weights(docs)).select(F.col("id").alias("doc_id"), "source", "copies")
+
+
+@query("op9_bpe_encode_decode")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode(table(spark, sf_dir, "documents"), carry=["doc_id"], check_col="round_trip")
+    return rows.withColumn("n_tokens", F.size("token_ids"))
