@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, mixing, neardup, quality, warc
+from . import bpe, exactdup, licences, mixing, neardup, quality, secretscan, warc
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_warc", "SELECT page_id, url, html FROM pages")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, sf_dir)
+
+
+@query("op7_secret_scan", secretscan.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op10_license_scan", licences.oracle())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licenses(table(spark, sf_dir, "documents"))
