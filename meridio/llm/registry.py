@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, licences, mixing, neardup, quality, secretscan, warc
+from . import bpe, exactdup, licences, mixing, neardup, quality, secretscan, toxicity, warc
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan", licences.oracle())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn_lexicon(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, lexicon=lexicon, carry=["doc_id", "lang", "source"])
