@@ -199,7 +199,7 @@ def learn_lexicon(
     docs: DataFrame, labels: DataFrame, *, share: float = 0.08, precision: float = 0.95, least: int = 4,
     id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", label_col: str = "toxic",
 ) -> dict[str, str]:
-    """Words to treat as insults, from labelled documents: {word: class}.
+    """Words to treat as mild insults, from labelled documents: {word: class}. One of them alone doesn't make a document toxic.
 
     A word is taken if it occurs in at least `share` of a language's toxic documents, and in `least` of them, and if at least
     `precision` of the documents it occurs in are toxic; copies and near copies count once. All labelled rows are used. At most
@@ -237,15 +237,15 @@ def learn_lexicon(
     for r in often.groupBy("word").agg(F.sum("n").alias("n")).collect():
         bad[r.word] = r.n
     good = {r.word: r.n for r in counted(clean, set(bad)).groupBy("word").agg(F.sum("n").alias("n")).collect()} if bad else {}
-    return {w: INSULT for w, n in bad.items() if n >= precision * (n + good.get(w, 0))}
+    return {w: MILD for w, n in bad.items() if n >= precision * (n + good.get(w, 0))}
 
 
 def toxicity(docs: DataFrame, *, lexicon: dict[str, str] | None = None, threshold: float = 1.0, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The rows whose text scores at least `threshold`, with toxicity (sum over clauses), toxic_clauses and worst_clause (the highest score).
 
     Clauses end at . ! ? ; : | and line breaks. Weights are 1 for an insult and 0.6 for a mild one, times 1.5 by a target, 1.2 by an
-    intensifier, 0.25 in reported speech, 0 if negated; a threat has 3. `lexicon` has words to add to the built-in ones, or to
-    class otherwise, as learn_lexicon gives them.
+    intensifier, 0.25 in reported speech, 0 if negated; a threat has 3. `lexicon` has words to add to the built-in ones, as
+    learn_lexicon gives them.
 
     Defined cases: null and empty texts score 0; whole texts are read whatever their length; repeated rows are judged one by one;
     extra columns pass through, and new columns that clash with them have underscores appended; an empty table gives an empty one.
@@ -254,7 +254,7 @@ def toxicity(docs: DataFrame, *, lexicon: dict[str, str] | None = None, threshol
     carry = docs.columns if carry is None else carry
     names = [free_name(docs, x) for x in ("toxicity", "toxic_clauses", "worst_clause")]
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType()), T.StructField(names[2], T.DoubleType())])
-    at, words = len(carry), LEXICON | (lexicon or {})
+    at, words = len(carry), (lexicon or {}) | LEXICON
 
     def run(batches):
         judge = matcher(words)
