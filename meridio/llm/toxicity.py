@@ -196,7 +196,7 @@ def _copy_key(words: set[str]) -> int:
 
 
 def learn_lexicon(
-    docs: DataFrame, labels: DataFrame, *, share: float = 0.08, precision: float = 0.95, least: int = 4,
+    docs: DataFrame, labels: DataFrame, *, share: float = 0.04, precision: float = 0.95, least: int = 4,
     id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", label_col: str = "toxic",
 ) -> dict[str, str]:
     """Words to treat as mild insults, from labelled documents: {word: class}. One of them alone doesn't make a document toxic.
