@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, licences, mixing, neardup, quality, secretscan, toxicity, warc
+from . import bpe, exactdup, licences, mixing, neardup, quality, secretscan, topk, toxicity, warc
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn_lexicon(docs, table(spark, sf_dir, "labels"))
     return toxicity.toxicity(docs, lexicon=lexicon, carry=["doc_id", "lang", "source"])
+
+
+@query("op1_exact_top_k", topk.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=10).withColumn("score", F.round("score", 6))
