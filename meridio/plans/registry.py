@@ -1,4 +1,4 @@
-"""All queries over the reference tables and their DuckDB equivalents."""
+"""All queries over the star-schema tables and their DuckDB equivalents."""
 
 from __future__ import annotations
 
@@ -20,3 +20,15 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def _load() -> None:
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"{__package__}.{name}")
+
+
+#: The modules whose queries are registered when this one is imported.
+MODULES = ["core"]
+_load()
