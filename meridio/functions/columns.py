@@ -14,7 +14,7 @@ STOP = ["the", "and", "for", "was", "are", "that", "this", "with", "from", "des"
 
 def r6(c: Column) -> Column:
     """Rounded to six places, as all reported doubles are."""
-    return F.round(c.cast("double"), 6)
+    return F.round(c.cast("double"), 6) + F.lit(0.0)  # no negative zero
 
 
 def split_trim(c: Column, sep: str = ",") -> Column:

@@ -30,5 +30,5 @@ def _load() -> None:
 
 
 #: The modules whose queries are registered when this one is imported.
-MODULES = ["core", "graphs"]
+MODULES = ["core", "graphs", "clusters"]
 _load()
