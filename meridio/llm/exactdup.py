@@ -26,7 +26,9 @@ def normalised(text: Column) -> Column:
 def _sorted(docs: DataFrame, text_col: str, id_col: str, carry: list[str], key: str) -> DataFrame:
     """The rows in content order, with the normalised content last; rows with a null text are left out."""
     rows = docs.where(F.col(text_col).isNotNull()).select(*carry, *([] if id_col in carry else [id_col]), normalised(F.col(text_col)).alias(key))
-    return rows.repartitionByRange(key).sortWithinPartitions(F.col(key), F.col(id_col).asc_nulls_last())
+    # splitters are sampled from the first characters and a hash, so that the driver never holds whole texts; equal contents
+    # still fall between the same two, and everything after compares whole contents
+    return rows.repartitionByRange(F.substring(key, 1, 32), F.xxhash64(key)).sortWithinPartitions(F.col(key), F.col(id_col).asc_nulls_last())
 
 
 def _runs(batches, at: int):

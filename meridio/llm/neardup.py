@@ -31,7 +31,7 @@ from ._text import chunks, code_points, mix, spans, word_hashes
 BANDS, ROWS, STEP = 32, 5, 32
 HASHES = BANDS * ROWS
 BLOCK = 2048  # nodes of a bucket that a task compares with each other or with another block
-PIECE = 1_500_000
+PIECE = 750_000
 
 _LUT: list[np.ndarray] = []
 

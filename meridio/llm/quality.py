@@ -25,7 +25,7 @@ from ._text import chunks, code_points, lookup, spans, word_hashes
 
 ORDER, BITS = 5, 6
 PAD, SPACE, UPPER, DIGIT, REPEAT = 0, 1, 28, 29, 38
-PIECE = 1_500_000  # characters handled at once in a task; a longer text is counted and scored in pieces of this size
+PIECE = 750_000  # characters handled at once in a task; a longer text is counted and scored in pieces of this size
 #: Share of the trusted rows that is kept out of training; the thresholds are quantiles over these rows.
 CALIBRATION_SHARE = 10
 

@@ -151,11 +151,11 @@ def entries(parts: DataFrame) -> DataFrame:
     # pointers now leave their range, so the longest chain has as many steps as its file has ranges
     reached, jump = where.where("a = 0").select("file", "a"), jump.select("file", "a", "b")
     for step in range(int(most).bit_length()):
-        there = reached.join(jump, ["file", "a"]).select("file", F.col("b").alias("a"))
+        there = reached.join(jump.hint("merge"), ["file", "a"]).select("file", F.col("b").alias("a"))
         reached = written(reached.unionAll(there).distinct(), "reached")
         if step + 1 < int(most).bit_length():
-            jump = written(jump.join(jump.select("file", F.col("a").alias("b"), F.col("b").alias("c")), ["file", "b"]).select("file", "a", F.col("c").alias("b")), "jumps")
-    return reached.join(where, ["file", "a"]).select("file", "part", "a")
+            jump = written(jump.join(jump.select("file", F.col("a").alias("b"), F.col("b").alias("c")).hint("merge"), ["file", "b"]).select("file", "a", F.col("c").alias("b")), "jumps")
+    return reached.join(where.hint("merge"), ["file", "a"]).select("file", "part", "a")
 
 
 def _records(batches):
