@@ -1,33 +1,42 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, thresholded on perplexity.
 
-Tokens are characters, folded to 64 symbols (letters, one class for capitals, one for digits, punctuation, one symbol for a
-word that repeats the one before it), so an n-gram of order five packs into 30 bits and the number of types is bounded by the
-alphabet, not by the corpus. Counts are gathered from *all* trusted text: tasks count locally, one shuffle adds the counts.
-Continuation counts, discounts and interpolation weights are aggregates over the sharded n-gram tables. Scoring tasks read the
-finished shards of a language from the shared folder and join them with the distinct n-grams of a batch by sorted search;
-neither the corpus nor its n-grams pass through the driver or a broadcast.
+The model is over words, unfolded as they stand between white space, with all bigrams and words of all trusted text; its tables
+grow with that text. What it leaves to words never seen is spread by their spelling, under a Kneser-Ney model of characters
+folded to 64 symbols (letters, one class for capitals, one for digits, punctuation, one symbol for a word that repeats the one
+before it), whose n-grams of order five pack into 30 bits; that table alone is bounded by the alphabet. Tasks count locally, one
+shuffle adds the counts. Continuation counts, discounts and interpolation weights are aggregates over the sharded tables.
+
+To score, each task gathers the distinct words and bigrams of a file split; they are shuffled to the shards of the word model,
+joined there, and what was found goes to the shared folder, where the task that scores the split reads its own part. Characters'
+shards are read whole. Neither the corpus nor its n-grams pass through the driver or a broadcast.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._shared import free_name, local_path, new_path, sized, written
-from ._text import chunks, code_points, lookup, spans, word_hashes
+from ._shared import free_name, local_path, new_path, remove, sized, written
+from ._text import R, chunks, code_points, lookup, mix, spans, word_hashes
 
 ORDER, BITS = 5, 6
 PAD, SPACE, UPPER, DIGIT, REPEAT = 0, 1, 28, 29, 38
 PIECE = 750_000  # characters handled at once in a task; a longer text is counted and scored in pieces of this size
 #: Share of the trusted rows that is kept out of training; the thresholds are quantiles over these rows.
 CALIBRATION_SHARE = 10
+#: Words and bigrams are known by hashes of so many bits; the model has a shard for every SHARD_ROWS of them.
+KEY_BITS, SHARD_ROWS = 56, 200_000
+TURN = 23  # a bigram's key is that of its first word XOR that of its second one turned by so many bits
+FIRST, AGAIN = np.uint64(0x51F15EED), np.uint64(0xA6A12EA7)  # stand for the word before the first one, and for a repeated word
 
 
 def _symbols() -> np.ndarray:
@@ -63,15 +72,23 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A word equal to the word before it counts, with the space between them, as the one symbol REPEAT.
     """
+    return _encode(texts)[:2]
+
+
+def _encode(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """What encode gives; the first symbol of each word, the one past it and its separator; a hash of the two; the word's text number.
+
+    Words are told apart by the white space that ends them too, so that the probability of a word covers its separator.
+    """
     if not _LUT:
         _LUT.append(_symbols())
     flat, n = code_points(texts)
     begin = np.cumsum(n) - n
     sym = lookup(flat, _LUT[0], 63)
     starts, ends = spans(sym > SPACE, begin[n > 0])
+    h = word_hashes(flat, starts, ends)
+    doc = np.searchsorted(begin + n, starts, "right")
     if len(starts) > 1:
-        h = word_hashes(flat, starts, ends)
-        doc = np.searchsorted(begin, starts, "right")
         again = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1])) + 1
         if len(again):
             sym = sym.copy()
@@ -88,6 +105,13 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             n = total[begin + n] - total[begin]
             sym = sym[keep]
             begin = np.cumsum(n) - n
+            starts, ends = total[starts], total[ends]
+            h = h.copy()
+            h[again] = AGAIN
+    inside = ends < (begin + n)[doc]
+    after = np.full(len(ends), 2, np.uint8)
+    after[inside] = np.minimum(sym[ends[inside]], 2)
+    ends = ends + (after <= SPACE)
     width = ORDER - 1
     padded = np.zeros(len(sym) + width * len(n), np.int64)
     at = np.arange(len(sym)) + np.repeat(width * np.arange(1, len(n) + 1), n)
@@ -95,7 +119,26 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code = padded[at]
     for k in range(1, ORDER):
         code |= padded[at - k] << (BITS * k)
-    return code, n
+    return code, n, starts, ends, mix(h + R * (after + np.uint64(1))), doc
+
+
+def _salt(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+
+
+def _root(lang: str) -> int:
+    """The key under which the model has what a language leaves to unseen words."""
+    return int(mix(np.array([_salt(lang)]) + R)[0] >> np.uint64(64 - KEY_BITS))
+
+
+def _word_keys(h: np.ndarray, doc: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each bigram, of its second word and of its first one."""
+    cut = np.uint64(64 - KEY_BITS)
+    before = np.concatenate(([FIRST], h[:-1]))[: len(h)]
+    before[np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))[: len(h)])] = FIRST
+    own, prior = (mix(x ^ salt) >> cut for x in (h, before))
+    pair = prior ^ (own >> np.uint64(TURN) | (own << np.uint64(KEY_BITS - TURN)) & np.uint64((1 << KEY_BITS) - 1))
+    return pair.astype(np.int64), own.astype(np.int64), prior.astype(np.int64)
 
 
 def _pieces(texts: list[str]):
@@ -109,15 +152,18 @@ def _pieces(texts: list[str]):
 
 
 def _batches(lang: list, text: list):
-    """Per chunk: the languages' names, each n-gram with its language's number above it, each n-gram's text number."""
+    """Per chunk: the languages' names, each n-gram with its language's number above it, each n-gram's text number, and of each
+    word the first and last symbol, its keys, its language's number and its text number."""
     own = list(_pieces([x or "" for x in text]))
     for a, b in chunks([len(t) for _, t in own], PIECE):
-        code, n = encode([t for _, t in own[a:b]])
+        code, n, starts, ends, h, doc = _encode([t for _, t in own[a:b]])
         where = np.fromiter((i for i, _ in own[a:b]), np.int64, b - a)
         names = sorted({lang[i] or "" for i in where})
         number = {x: k for k, x in enumerate(names)}
         of = np.fromiter((number[lang[i] or ""] for i in where), np.int64, b - a)
-        yield names, code | (np.repeat(of, n) << (BITS * ORDER)), np.repeat(where, n)
+        salt = np.fromiter(map(_salt, names), np.uint64, len(names))[of[doc]]
+        words = starts, ends, _word_keys(h, doc, salt), of[doc], where[doc]
+        yield names, code | (np.repeat(of, n) << (BITS * ORDER)), np.repeat(where, n), words
 
 
 def _count(batches):
@@ -133,7 +179,7 @@ def _count(batches):
 
     held = 0
     for batch in batches:
-        for names, code, _ in _batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for names, code, _, _ in _batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             u, c = np.unique(code, return_counts=True)
             cut = np.searchsorted(u, np.arange(len(names) + 1) << (BITS * ORDER))
             for k, name in enumerate(names):
@@ -153,6 +199,160 @@ def ngram_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> Dat
     return part.mapInArrow(_count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def _count_words(batches):
+    for batch in batches:
+        for names, _, _, (_, _, (pair, word, prior), of, _) in _batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            _, first, n = np.unique(pair, return_index=True, return_counts=True)
+            columns = [pa.array(names).take(pa.array(of[first])), pa.array(word[first]), pa.array(prior[first]), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "prior", "n"])
+
+
+def word_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """(lang, word, prior, c): how often each bigram occurs in each language, over all rows; prior is the key of its first word."""
+    part = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text")).where(F.length("text") > 0)
+    rows = part.mapInArrow(_count_words, "lang string, word bigint, prior bigint, n bigint")
+    return rows.groupBy("lang", "word", "prior").agg(F.sum("n").alias("c"))
+
+
+def word_model(pairs: DataFrame) -> DataFrame:
+    """(key, v, back, scale): discounted counts v of each seen bigram and word; for each history, what it leaves to the lower order and
+    by what its bigrams' v are multiplied. A language is the history of its words. A key may have one row of each kind."""
+    words = pairs.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c"))
+    both = pairs.select("lang", F.lit(2).alias("ord"), "c").unionByName(words.select("lang", F.lit(1).alias("ord"), "c"))
+    sizes = F.broadcast(_discounts(both))  # one row a language and order
+
+    def discounted(grams: DataFrame, order: int) -> DataFrame:
+        rows = grams.join(sizes.where(F.col("ord") == order).drop("ord"), "lang")
+        return rows.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+
+    sums = (F.sum("d") / F.sum("c")).alias("back"), (1.0 / F.sum("c")).alias("scale")
+    v, none = (F.col("c") - F.col("d")).alias("v"), F.lit(None).cast("double")
+    pairs, words = discounted(pairs, 2), discounted(words, 1)
+    history = pairs.groupBy(F.col("prior").alias("key")).agg(*sums)
+    named = F.udf(lambda x: _root(x), "bigint")
+    root = words.groupBy("lang").agg(*sums).select(named("lang").alias("key"), "back", "scale")
+    turned = F.shiftright("word", TURN).bitwiseOR(F.shiftleft("word", KEY_BITS - TURN).bitwiseAND((1 << KEY_BITS) - 1))
+    grams = pairs.select(F.col("prior").bitwiseXOR(turned).alias("key"), v).unionByName(words.select(F.col("word").alias("key"), v))
+    return grams.select("key", "v", none.alias("back"), none.alias("scale")).unionByName(history.unionByName(root).select("key", none.alias("v"), "back", "scale"))
+
+
+def _discounts(grams: DataFrame) -> DataFrame:
+    """(lang, ord, d1, d2, d3) from the counts of counts; one row a language and order."""
+    n = [F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+
+    def discount(i: int, default: float):
+        d = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        ok = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0)
+        return F.when(ok, F.least(F.greatest(F.when(ok, d), F.lit(0.05)), F.lit(float(i)))).otherwise(default)
+
+    return grams.groupBy("lang", "ord").agg(*n).select("lang", "ord", discount(1, 0.5).alias("d1"), discount(2, 1.0).alias("d2"), discount(3, 1.5).alias("d3"))
+
+
+WORD_VALUES = ("v", "back", "scale")
+
+
+def _asked(bits: int):
+    """Of each split the distinct keys of its words, bigrams and languages, a row for each shard: the sorted keys' differences."""
+    def rows(split: int, parts: list):
+        u = np.unique(np.concatenate(parts))
+        cut = np.searchsorted(u, np.arange((1 << bits) + 1, dtype=np.int64) << (KEY_BITS - bits))
+        for shard in np.flatnonzero(np.diff(cut)):
+            step = np.diff(u[cut[shard] : cut[shard + 1]], prepend=0)
+            width = max(1, (int(step[1:].max(initial=0)).bit_length() + 7) // 8)
+            packed = step[:1].tobytes() + bytes([width]) + step[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+            yield int(shard), split, packed
+
+    def run(batches):
+        held: dict[int, list] = {}
+        total = 0
+        for batch in batches:
+            langs, texts, splits = (batch.column(i).to_pylist() for i in range(3))
+            for split in set(splits):
+                at = [i for i, x in enumerate(splits) if x == split]
+                for names, _, _, (_, _, keys, _, _) in _batches([langs[i] for i in at], [texts[i] for i in at]):
+                    u = np.unique(np.concatenate([*keys, np.array([_root(x) for x in names], np.int64)]))
+                    held.setdefault(split, []).append(u)
+                    total += len(u)
+            if total > 2_000_000:
+                yield from pack(held)
+                held, total = {}, 0
+        yield from pack(held)
+
+    def pack(held):
+        for split, parts in held.items():
+            out = list(rows(split, parts))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], names=["shard", "split", "keys"])
+
+    return run
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    width = b[8]
+    step = np.zeros(((len(b) - 9) // width + 1, 8), np.uint8)
+    step[0] = np.frombuffer(b, np.uint8, 8)
+    step[1:, :width] = np.frombuffer(b, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(step.view(np.int64).ravel())
+
+
+def _found(asked: pa.Table, model: pa.Table) -> pa.Table:
+    key = model.column("key").to_numpy()
+    values = np.stack([model.column(c).to_numpy(zero_copy_only=False) for c in WORD_VALUES], 1).astype(np.float32)
+    by = np.argsort(key)
+    values, first = values[by], np.flatnonzero(np.diff(key[by], prepend=-1))
+    key = key[by][first]
+    values = np.fmax.reduceat(values, first) if len(key) else values  # the rows of a key are of different kinds
+    out = []
+    for split, packed in zip(asked.column("split").to_pylist(), asked.column("keys").to_pylist()) if len(key) else ():
+        want = _unpacked(packed)
+        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        hit = key[at] == want
+        if hit.any():
+            out.append((split, want[hit].tobytes(), values[at[hit]].tobytes()))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else ([],) * 3, (pa.int64(), pa.binary(), pa.binary()))], names=["split", "keys", "found"])
+
+
+def look_up(docs: DataFrame, model: DataFrame, rows: int, uri: str, lang: str, text: str, split: str) -> None:
+    """Write, by split, what the word model has for the words and bigrams of the texts; neither side is broadcast."""
+    bits = min(20, max(2, (rows // SHARD_ROWS).bit_length()))
+    asked = docs.select(lang, text, split).where(F.length(text) > 0).mapInArrow(_asked(bits), "shard int, split bigint, keys binary")
+    sharded = model.select("key", *(F.col(c).cast("float") for c in WORD_VALUES)).withColumn("shard", F.shiftright("key", KEY_BITS - bits).cast("int"))
+    found = asked.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_found, "split bigint, keys binary, found binary")
+    # small row groups sorted by split, of which a reader skips all but its own
+    found.sortWithinPartitions("split").write.option("parquet.block.size", 1 << 20).parquet(uri)
+
+
+class Words:
+    """What the word model has for one split, sorted by key, read from the shared folder."""
+
+    def __init__(self, uri: str, split: int):
+        import pyarrow.dataset as ds
+
+        filesystem, path = local_path(uri)
+        t = ds.dataset(path, filesystem=filesystem, format="parquet", schema=pa.schema([("split", pa.int64()), *((c, pa.binary()) for c in ("keys", "found"))])).to_table(filter=ds.field("split") == split)
+        key, values = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("keys", np.int64), ("found", np.float32)))
+        by = np.argsort(key)
+        self.key, values = key[by], values.reshape(-1, len(WORD_VALUES))[by]
+        self.v, self.back, self.scale = (np.ascontiguousarray(x) for x in values.T)
+
+    def _get(self, values: np.ndarray, key: np.ndarray, missing: float) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(key), missing)
+        u, inv = np.unique(key, return_inverse=True)  # sorted keys are searched much faster
+        at = np.minimum(np.searchsorted(self.key, u), len(self.key) - 1)
+        x = np.where(self.key[at] == u, values[at], np.nan)
+        return np.where(np.isnan(x), missing, x)[inv]
+
+    def logp(self, keys: tuple, root: int, spelling: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the interpolated probability of each word after the one before it, given that of its spelling."""
+        pair, word, prior = keys
+        root = np.array([root])
+        one = self._get(self.v, word, 0.0) * self._get(self.scale, root, 0.0) + self._get(self.back, root, 1.0) * np.exp(spelling)
+        p = self._get(self.v, pair, 0.0) * self._get(self.scale, prior, 0.0) + self._get(self.back, prior, 1.0) * one
+        return np.where(p > 1e-300, np.log(np.maximum(p, 1e-300)), spelling)
+
+
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """(lang, ord, kind, code, v): kind 0 has the discounted probability of each seen n-gram, kind 1 each history's weight of the lower order.
 
@@ -168,16 +368,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     grams = levels[0]
     for x in levels[1:]:
         grams = grams.unionByName(x)
-    n = [F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-
-    def discount(i: int, default: float):
-        d = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
-        ok = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0)
-        return F.when(ok, F.least(F.greatest(F.when(ok, d), F.lit(0.05)), F.lit(float(i)))).otherwise(default)
-
     # one row a language and order: bounded by the number of languages
-    sizes = grams.groupBy("lang", "ord").agg(*n).select("lang", "ord", discount(1, 0.5).alias("d1"), discount(2, 1.0).alias("d2"), discount(3, 1.5).alias("d3"))
+    sizes = _discounts(grams)
     history = Window.partitionBy("lang", "ord", "h")
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     rows = (
@@ -225,6 +417,7 @@ class Shards:
 
 
 _MODELS: dict[tuple[str, str], Shards] = {}
+_WORDS: dict[tuple[str, int], Words] = {}
 
 
 def _shards(uri: str, lang: str) -> Shards:
@@ -235,25 +428,43 @@ def _shards(uri: str, lang: str) -> Shards:
     return _MODELS[uri, lang]
 
 
-def score(docs: DataFrame, uri: str, lang: str, text: str, logp: str, chars: str) -> DataFrame:
+def _words(uri: str, split: int) -> Words:
+    if (uri, split) not in _WORDS:
+        _WORDS.clear()
+        _WORDS[uri, split] = Words(uri, split)
+    return _WORDS[uri, split]
+
+
+def score(docs: DataFrame, uri: str, word_uri: str, lang: str, text: str, split: str, logp: str, chars: str) -> DataFrame:
     """The rows with the sum of log probabilities of their symbols (null without a model of the language) and the number of symbols."""
     schema = T.StructType([*docs.schema.fields, T.StructField(logp, T.DoubleType()), T.StructField(chars, T.LongType())])
-    li, ti = docs.columns.index(lang), docs.columns.index(text)
+    li, ti, si = (docs.columns.index(c) for c in (lang, text, split))
 
     def run(batches):
         for batch in batches:
-            langs, texts = batch.column(li).to_pylist(), batch.column(ti).to_pylist()
-            total, n, known = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
-            for names, code, where in _batches(langs, texts):
-                u, inv = np.unique(code, return_inverse=True)
-                lp = np.zeros(len(u))
-                cut = np.searchsorted(u, np.arange(len(names) + 1) << (BITS * ORDER))
-                for k, name in enumerate(names):
-                    part = slice(cut[k], cut[k + 1])
-                    model = _shards(uri, name)
-                    lp[part] = np.nan if model.empty else model.logp(u[part] & ((1 << BITS * ORDER) - 1))
-                total += np.bincount(where, lp[inv], len(texts))
-                n += np.bincount(where, minlength=len(texts))
+            langs, texts, splits = (batch.column(i).to_pylist() for i in (li, ti, si))
+            total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for s in dict.fromkeys(splits):
+                rows = np.fromiter((i for i, x in enumerate(splits) if x == s), np.int64)
+                for names, code, where, (starts, ends, keys, of, owner) in _batches([langs[i] for i in rows], [texts[i] for i in rows]):
+                    u, inv = np.unique(code, return_inverse=True)
+                    lp = np.zeros(len(u))
+                    cut = np.searchsorted(u, np.arange(len(names) + 1) << (BITS * ORDER))
+                    for k, name in enumerate(names):
+                        part = slice(cut[k], cut[k + 1])
+                        model = _shards(uri, name)
+                        lp[part] = np.nan if model.empty else model.logp(u[part] & ((1 << BITS * ORDER) - 1))
+                    lp = lp[inv]
+                    # the symbols of a word count by the word model, all others for themselves
+                    sums = np.concatenate(([0.0], np.cumsum(np.nan_to_num(lp))))
+                    spelling = sums[ends] - sums[starts]
+                    mine = np.zeros(len(starts))
+                    for k, name in enumerate(names):
+                        m = of == k
+                        if m.any():
+                            mine[m] = _words(word_uri, s).logp(tuple(x[m] for x in keys), _root(name), spelling[m])
+                    total += np.bincount(rows[where], lp, len(texts)) + np.bincount(rows[owner], mine - spelling, len(texts))
+                    n += np.bincount(rows[where], minlength=len(texts))
             known = ~np.isnan(total) & (n > 0)
             columns = [*batch.columns, pa.array(np.where(known, total, 0.0), pa.float64(), mask=~known), pa.array(n)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -278,9 +489,15 @@ def quality_scores(
     `carry` names the columns to return (all by default); new columns that clash with them have underscores appended.
     """
     carry = docs.columns if carry is None else carry
-    lp, n, tr, ppl, kept, tid = (free_name(docs, x) for x in ("sum_logp", "n_symbols", "trusted", "perplexity", "kept", "trusted_id"))
+    lp, n, tr, ppl, kept, tid, split = (free_name(docs, x) for x in ("sum_logp", "n_symbols", "trusted", "perplexity", "kept", "trusted_id", "split"))
     ids = trusted_ids.select(F.col(id_col).alias(tid)).where(F.col(tid).isNotNull()).distinct()
     # 8 bytes an id: broadcast if there are few enough, else shuffled
+    # the split of a row is the same whenever its file is read; rows that come from no file are one split
+    block = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    try:
+        docs = docs.withColumn(split, block)
+    except AnalysisException:  # more than one source
+        docs = written(docs, "documents").withColumn(split, block)
     marked = docs.join(sized(ids), F.col(id_col) == F.col(tid), "left")
     calibrates = F.pmod(F.xxhash64(F.col(tid)), F.lit(CALIBRATION_SHARE)) == 0
     marked = marked.withColumn(tr, F.when(F.col(tid).isNull(), 0).when(calibrates, 2).otherwise(1)).drop(tid)
@@ -288,7 +505,11 @@ def quality_scores(
     counts = written(ngram_counts(marked.where(F.col(tr) == 1), lang_col, text_col), "ngrams")
     model = kneser_ney(counts).repartition("lang", F.shiftright("code", 12)).sortWithinPartitions("lang", "ord", "kind", "code")
     model.write.parquet(uri)
-    scored = score(marked, uri, lang_col, text_col, lp, n)
+    pairs = written(word_counts(marked.where(F.col(tr) == 1), lang_col, text_col), "bigrams")
+    word_uri = new_path(docs.sparkSession, "looked-up")
+    look_up(marked, word_model(pairs), pairs.count(), word_uri, lang_col, text_col, split)
+    remove(docs.sparkSession, *{x.rsplit("/", 1)[0] for x in pairs.inputFiles()})
+    scored = score(marked, uri, word_uri, lang_col, text_col, split, lp, n)
     scored = written(scored.select(*carry, F.coalesce(F.col(lang_col), F.lit("")).alias(tid), tr, lp, n), "scored")
     # a row a language from here on: bounded by the number of languages, so broadcast
     known = scored.where(F.col(lp).isNotNull() & (F.col(tr) > 0))
