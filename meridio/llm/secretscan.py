@@ -24,6 +24,13 @@ RULES = [
     ("assigned_secret", r"""(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_?KEY|[Aa]ccess_?[Kk]ey)["']?[ \t]*[:=][ \t]*["'][^"' \t\r\n]{8,}["']""", True),
 ]
 ALL = "|".join(f"(?:{p})" for _, p, _ in RULES)
+#: What follows a private key's header: all up to the END line, or the lines of a block that is cut off. Java's syntax only; the
+#: SQL below still takes the header alone as the value.
+KEY_REST = r"(?:[^-]*+(?:-(?!----)[^-]*+){0,64}+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\\[rn]|\s){0,8}[0-9A-Za-z+/=]{40,}+){0,200}+)"
+SCANNED = [(n, p + KEY_REST if n == "private_key" else p, q) for n, p, q in RULES]
+SCANNED_ALL = "|".join(f"(?:{p})" for _, p, _ in SCANNED)
+#: A key's body shorter than this may hold a placeholder's words; a longer one holds some of them by chance.
+SHORT_KEY = 100
 PLACEHOLDER = r"(?i)example|placeholder|changeme|your[_-]|xxxx|dummy|sample|12345678|<[a-z_ ]+>|\$\{"
 
 
@@ -41,7 +48,8 @@ def scan_secrets(
 ) -> DataFrame:
     """(doc_id, rule, secret_hash, n_in_doc, n_repos, n_owners, verdict): a row for each value in each document.
 
-    The hash is SHA-256 of the value; values themselves aren't returned. The verdict is `shared_example` for a value of at
+    The hash is SHA-256 of the value, which for a private key is its body without white space and escaped line ends (the header
+    line if no body follows); values themselves aren't returned. The verdict is `shared_example` for a value of at
     least `example_owners` distinct owners or `example_repos` distinct repositories, else `placeholder` if it has the words of
     one or less than `min_entropy` bits a character (a private key's header line is exempt), else `owner_specific`.
 
@@ -49,15 +57,19 @@ def scan_secrets(
     repository each; a value found several times in a document gives one row with n_in_doc, and repeated rows of a document add
     to it; whole texts are scanned; extra columns are ignored; an empty table gives an empty result.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("o"), F.col(repo_col).cast("string").alias("r"), F.explode(F.regexp_extract_all(text_col, F.lit(ALL), F.lit(0))).alias("hit"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("o"), F.col(repo_col).cast("string").alias("r"), F.explode(F.regexp_extract_all(text_col, F.lit(SCANNED_ALL), F.lit(0))).alias("hit"))
     rule = F.lit(None).cast("string")
-    for name, pattern, _ in reversed(RULES):
+    for name, pattern, _ in reversed(SCANNED):
         rule = F.when(F.col("hit").rlike(f"^(?:{pattern})$"), name).otherwise(rule)
     found = own.select("doc_id", "o", "r", rule.alias("rule"), "hit")
     quoted = [name for name, _, q in RULES if q]
     value = F.when(F.col("rule").isin(quoted), F.regexp_extract("hit", r"""["']([^"' \t\r\n]{8,})["']$""", 1)).otherwise(F.col("hit"))
+    header = RULES[0][1]
+    body = F.regexp_replace(F.regexp_replace("hit", rf"^{header}|-----END [A-Z ]*PRIVATE KEY-----$", ""), r"\\[rn]|\s+", "")
+    value = F.when((F.col("rule") == "private_key") & (body != ""), body).otherwise(value)
     found = found.select("doc_id", "o", "r", "rule", value.alias("v"))
-    looks = F.col("v").rlike(PLACEHOLDER) | ((F.col("rule") != "private_key") & (_entropy(F.col("v")) < min_entropy))
+    key = F.col("rule") == "private_key"
+    looks = (F.col("v").rlike(PLACEHOLDER) & (~key | (F.length("v") < SHORT_KEY))) | (~F.col("v").rlike(f"^{header}$") & (_entropy(F.col("v")) < min_entropy))
     # one row a document and value from here on; the value itself is left behind
     found = found.groupBy("doc_id", "o", "r", "rule", "v").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "o", "r", "rule", F.sha2("v", 256).alias("secret_hash"), looks.alias("looks"), "n")
     pairs = found.groupBy("secret_hash", "o", "r").agg(F.count(F.lit(1)).alias("k"))

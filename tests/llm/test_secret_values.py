@@ -1,0 +1,29 @@
+"""What counts as one secret, and as shared."""
+
+import random
+import string
+
+from meridio.llm import secretscan
+
+DOCS = "doc_id bigint, text string, source string"
+
+
+def pem(seed: int, end: str = "\n", close: bool = True) -> str:
+    body = "".join(random.Random(seed).choices(string.ascii_letters + string.digits + "+/", k=1600))
+    lines = ["-----BEGIN RSA PRIVATE KEY-----", *(body[i : i + 64] for i in range(0, 1600, 64))]
+    return end.join(lines + ["-----END RSA PRIVATE KEY-----"] * close)
+
+
+def scan(spark, rows):
+    return {r.doc_id: r for r in secretscan.scan_secrets(spark.createDataFrame(rows, DOCS)).collect() if r.rule == "private_key"}
+
+
+def test_keys_with_one_header_are_told_apart(spark):
+    got = scan(spark, [(i, f"a {pem(1)} b", f"s{i}") for i in range(3)] + [(3, f"x\n{pem(2)}\nand - more - dashes", "s3"), (4, "-----BEGIN RSA PRIVATE KEY-----\nnone here", "s4"), (5, pem(3, close=False) + "\nsome prose", "s5")])
+    assert len({r.secret_hash for r in got.values()}) == 4
+    assert [got[i].verdict for i in range(6)] == ["shared_example"] * 3 + ["owner_specific"] * 3
+
+
+def test_line_ends_of_a_key_do_not_count(spark):
+    got = scan(spark, [(0, pem(1), "s0"), (1, pem(1, "\r\n"), "s1"), (2, pem(1, "\\n"), "s2"), (3, pem(1, "\n  "), "s3"), (4, pem(1, close=False), "s4"), (5, "-----BEGIN RSA PRIVATE KEY-----" + " - " * 20000, "s5")])
+    assert len({got[i].secret_hash for i in range(5)}) == 1 and got[0].n_owners == 5
