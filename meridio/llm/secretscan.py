@@ -43,21 +43,23 @@ def _entropy(v: Column) -> Column:
 
 
 def scan_secrets(
-    docs: DataFrame, *, owner_col: str = "source", repo_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, owner_col: str = "source", repo_col: str | None = None, id_col: str = "doc_id", text_col: str = "text",
     example_owners: int = 3, example_repos: int = 25, min_entropy: float = 2.5,
 ) -> DataFrame:
     """(doc_id, rule, secret_hash, n_in_doc, n_repos, n_owners, verdict): a row for each value in each document.
 
     The hash is SHA-256 of the value, which for a private key is its body without white space and escaped line ends (the header
     line if no body follows); values themselves aren't returned. The verdict is `shared_example` for a value of at
-    least `example_owners` distinct owners or `example_repos` distinct repositories, else `placeholder` if it has the words of
+    least `example_owners` distinct owners or, where the table names them in `repo_col`, `example_repos` distinct repositories, else `placeholder` if it has the words of
     one or less than `min_entropy` bits a character (a private key's header line is exempt), else `owner_specific`.
 
+    Without `repo_col` n_repos counts documents and has no say in the verdict: copies within one owner share nothing.
+
     Defined cases: null and empty texts have no findings; null owners and null repositories count as one owner and one
     repository each; a value found several times in a document gives one row with n_in_doc, and repeated rows of a document add
     to it; whole texts are scanned; extra columns are ignored; an empty table gives an empty result.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("o"), F.col(repo_col).cast("string").alias("r"), F.explode(F.regexp_extract_all(text_col, F.lit(SCANNED_ALL), F.lit(0))).alias("hit"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("o"), F.col(repo_col or id_col).cast("string").alias("r"), F.explode(F.regexp_extract_all(text_col, F.lit(SCANNED_ALL), F.lit(0))).alias("hit"))
     rule = F.lit(None).cast("string")
     for name, pattern, _ in reversed(SCANNED):
         rule = F.when(F.col("hit").rlike(f"^(?:{pattern})$"), name).otherwise(rule)
@@ -76,7 +78,9 @@ def scan_secrets(
     counts = pairs.groupBy("secret_hash").agg(
         F.count_distinct(F.coalesce(F.concat(F.lit("="), "r"), F.lit("-"))).alias("n_repos"), F.count_distinct(F.coalesce(F.concat(F.lit("="), "o"), F.lit("-"))).alias("n_owners")
     )
-    shared = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    shared = F.col("n_owners") >= example_owners
+    if repo_col:
+        shared = shared | (F.col("n_repos") >= example_repos)
     verdict = F.when(shared, "shared_example").when(F.col("looks"), "placeholder").otherwise("owner_specific")
     rows = found.join(counts, "secret_hash").withColumn("verdict", verdict)
     return rows.groupBy("doc_id", "rule", "secret_hash", "n_repos", "n_owners", "verdict").agg(F.sum("n").alias("n_in_doc"))
