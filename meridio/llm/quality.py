@@ -31,8 +31,8 @@ from ._text import R, chunks, code_points, lookup, mix, spans, word_hashes
 ORDER, BITS = 5, 6
 PAD, SPACE, UPPER, DIGIT, REPEAT = 0, 1, 28, 29, 38
 PIECE = 750_000  # characters handled at once in a task; a longer text is counted and scored in pieces of this size
-#: Share of the trusted rows that is kept out of training; the thresholds are quantiles over these rows.
-CALIBRATION_SHARE = 10
+#: Each language has a model for either half of the texts, trained on the trusted rows of the other half. Copies share a half.
+HALVES = 2
 #: Words and bigrams are known by hashes of so many bits; the model has a shard for every SHARD_ROWS of them.
 KEY_BITS, SHARD_ROWS = 56, 200_000
 TURN = 23  # a bigram's key is that of its first word XOR that of its second one turned by so many bits
@@ -468,6 +468,7 @@ def score(docs: DataFrame, uri: str, word_uri: str, lang: str, text: str, split:
             known = ~np.isnan(total) & (n > 0)
             columns = [*batch.columns, pa.array(np.where(known, total, 0.0), pa.float64(), mask=~known), pa.array(n)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        _WORDS.clear()
 
     return docs.mapInArrow(run, schema)
 
@@ -478,18 +479,19 @@ def quality_scores(
 ) -> DataFrame:
     """The rows with `perplexity` and `kept`: whether the perplexity lies within language-specific quantiles of trusted text.
 
-    trusted_ids has the ids of trusted rows in its column `id_col`. Nine tenths of them train the model, the rest set the
-    quantiles (all of them do in a language in which too few are left over). A document of n symbols has perplexity
+    trusted_ids has the ids of trusted rows in its column `id_col`. Every text, trusted or not, is scored by the model trained on
+    the trusted rows of the other half of texts (by a hash of the text), so that at every size the quantiles cover all trusted
+    rows and no row is judged by a model that has seen it. A document of n symbols has perplexity
     exp(-(sum of log p + prior_chars * m) / (n + prior_chars)), m being the language's mean log p a symbol over the
-    calibration rows, which keeps very short texts near their language's centre.
+    trusted rows, which keeps very short texts near their language's centre.
 
     Defined cases: null and empty texts are not kept and have perplexity null; a null language counts as the language "";
-    documents of a language without trusted text are kept with perplexity null, for nothing speaks against them; repeated rows
+    documents of a language without trusted text in the other half are kept with perplexity null, for nothing speaks against them; repeated rows
     are judged one by one and count as often as they occur; null ids are never trusted; an empty table gives an empty one.
     `carry` names the columns to return (all by default); new columns that clash with them have underscores appended.
     """
     carry = docs.columns if carry is None else carry
-    lp, n, tr, ppl, kept, tid, split = (free_name(docs, x) for x in ("sum_logp", "n_symbols", "trusted", "perplexity", "kept", "trusted_id", "split"))
+    lp, n, tr, ppl, kept, tid, split, name = (free_name(docs, x) for x in ("sum_logp", "n_symbols", "trusted", "perplexity", "kept", "trusted_id", "split", "model"))
     ids = trusted_ids.select(F.col(id_col).alias(tid)).where(F.col(tid).isNotNull()).distinct()
     # 8 bytes an id: broadcast if there are few enough, else shuffled
     # the split of a row is the same whenever its file is read; rows that come from no file are one split
@@ -499,22 +501,22 @@ def quality_scores(
     except AnalysisException:  # more than one source
         docs = written(docs, "documents").withColumn(split, block)
     marked = docs.join(sized(ids), F.col(id_col) == F.col(tid), "left")
-    calibrates = F.pmod(F.xxhash64(F.col(tid)), F.lit(CALIBRATION_SHARE)) == 0
-    marked = marked.withColumn(tr, F.when(F.col(tid).isNull(), 0).when(calibrates, 2).otherwise(1)).drop(tid)
+    half = F.pmod(F.xxhash64(F.col(text_col)), F.lit(HALVES))
+    named = lambda h: F.concat_ws("\x1f", F.coalesce(F.col(lang_col), F.lit("")), h.cast("string"))
+    marked = marked.withColumns({tr: F.col(tid).isNotNull(), name: named(half)}).drop(tid)
+    training = marked.where(F.col(tr)).withColumn(name, named(HALVES - 1 - half))
     uri = new_path(docs.sparkSession, "kneser-ney")
-    counts = written(ngram_counts(marked.where(F.col(tr) == 1), lang_col, text_col), "ngrams")
+    counts = written(ngram_counts(training, name, text_col), "ngrams")
     model = kneser_ney(counts).repartition("lang", F.shiftright("code", 12)).sortWithinPartitions("lang", "ord", "kind", "code")
     model.write.parquet(uri)
-    pairs = written(word_counts(marked.where(F.col(tr) == 1), lang_col, text_col), "bigrams")
+    pairs = written(word_counts(training, name, text_col), "bigrams")
     word_uri = new_path(docs.sparkSession, "looked-up")
-    look_up(marked, word_model(pairs), pairs.count(), word_uri, lang_col, text_col, split)
+    look_up(marked, word_model(pairs), pairs.count(), word_uri, name, text_col, split)
     remove(docs.sparkSession, *{x.rsplit("/", 1)[0] for x in pairs.inputFiles()})
-    scored = score(marked, uri, word_uri, lang_col, text_col, split, lp, n)
+    scored = score(marked, uri, word_uri, name, text_col, split, lp, n)
     scored = written(scored.select(*carry, F.coalesce(F.col(lang_col), F.lit("")).alias(tid), tr, lp, n), "scored")
     # a row a language from here on: bounded by the number of languages, so broadcast
-    known = scored.where(F.col(lp).isNotNull() & (F.col(tr) > 0))
-    role = known.groupBy(tid).agg(F.when(F.count_if(F.col(tr) == 2) >= 30, 2).otherwise(1).alias("_least"))
-    known = known.join(F.broadcast(role), tid).where(F.col(tr) >= F.col("_least"))
+    known = scored.where(F.col(lp).isNotNull() & F.col(tr))
     mean = known.groupBy(tid).agg((F.sum(lp) / F.sum(n)).alias("_mean"))
 
     def perplexity():

@@ -8,7 +8,7 @@ DOCS = "doc_id bigint, text string, lang string"
 
 
 def test_words_that_fold_alike_are_told_apart(spark):
-    good = [(i, "THE CAT SAT ON A MAT. " * 3, "en") for i in range(40)]
+    good = [(i, "THE CAT SAT ON A MAT. " * (1 + i), "en") for i in range(40)]
     docs = spark.createDataFrame([*good, (100, "THE CAT SAT ON A MAT.", "en"), (101, "XQV ZWK JQX VK Z QJX.", "en")], DOCS)
     assert quality.encode(["THE CAT SAT ON A MAT."])[0].tolist() == quality.encode(["XQV ZWK JQX VK Z QJX."])[0].tolist()
     got = {r.doc_id: r.perplexity for r in quality.quality_scores(docs, docs.where("doc_id < 40").select("doc_id")).collect()}
@@ -40,3 +40,14 @@ def test_splits_do_not_change_scores(spark, tmp_path):
     many = spark.read.parquet(f"{tmp_path}/many")
     scores = [{r.doc_id: round(r.perplexity, 6) for r in quality.quality_scores(x, trusted).collect()} for x in (docs, many, many.where("doc_id < 30").union(many.where("doc_id >= 30")))]
     assert len(scores[0]) == 60 and scores[0] == scores[1] == scores[2]
+
+
+def test_a_trusted_row_is_not_judged_by_a_model_that_has_seen_it(spark):
+    """In a language of few trusted rows as well: a row unlike all others has the same perplexity whether it is trusted or not."""
+    rows = [(i, f"the {i % 7} cats and {i % 11} dogs sat on the log of house {i}.", "en") for i in range(30)] + [(99, "Quartz sphinx, judge my vow upon jolly wizard boxes!", "en")]
+    docs = spark.createDataFrame(rows, DOCS)
+    odd = []
+    for beyond in (30, 100):
+        ids = docs.where(F.col("doc_id") < beyond).select("doc_id")
+        odd.append(next(r.perplexity for r in quality.quality_scores(docs, ids, prior_chars=0.0).collect() if r.doc_id == 99))
+    assert abs(odd[0] / odd[1] - 1) < 1e-6
