@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import written
+
 TOKEN = "[a-z0-9]+"
 THRESHOLD = 0.8
 #: (license, a sentence that names or grants it).
@@ -34,6 +36,11 @@ TEMPLATES = [
     ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced"),
 ]
 
+#: The templates of the query. The line of three words stands by itself; the SQL below and its test hold the ones above.
+QUERY_TEMPLATES = [*TEMPLATES, ("all-rights-reserved", "All rights reserved")]
+#: Lines over which a wrapped sentence may run: the longest template has 130 characters.
+WIDEST = 4
+
 
 def token_sets(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, str, list[str], int]]:
     """(number, license, distinct tokens, least overlap) of each template that has tokens."""
@@ -100,6 +107,29 @@ def scan_licenses(
     return near.select("doc_id", "block", "template", "license", "overlap", (F.col("overlap") / F.size("ranked")).cast("double").alias("containment"))
 
 
+def scan_wrapped_licenses(
+    docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, widest: int = WIDEST,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, block, template, license, overlap, containment, n_lines): the shortest runs of up to `widest` lines that scan_licenses matches.
+
+    A run is left out if a shorter one within it matches the same template, so a license on one line gives one row, as does a
+    sentence that is wrapped over several. The defined cases are those of scan_licenses.
+    """
+    templates = QUERY_TEMPLATES if templates is None else templates
+    # rows that share an identifier but not the text are kept apart
+    docs = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of")).alias("doc_id"), F.col(text_col).alias("text"))
+    found = None
+    for n in range(1, widest + 1):
+        part = scan_licenses(docs, templates=templates, threshold=threshold, window=n).withColumn("n_lines", F.lit(n))
+        found = part if found is None else found.unionByName(part)
+    found = written(found, "licenses")
+    a, b = found.alias("a"), found.select("doc_id", "template", "block", "n_lines").distinct().alias("b")
+    inside = (F.col("b.block") >= F.col("a.block")) & (F.col("b.block") + F.col("b.n_lines") <= F.col("a.block") + F.col("a.n_lines")) & (F.col("b.n_lines") < F.col("a.n_lines"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.template") == F.col("b.template"))
+    return a.join(b, same & inside, "left_anti").withColumn("doc_id", F.col("doc_id.id"))
+
+
 def oracle(templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> str:
     rows = ", ".join(f"({k}, '{name}', {tokens!r}, {least})" for k, name, tokens, least in token_sets(TEMPLATES if templates is None else templates, threshold))
     return rf"""
