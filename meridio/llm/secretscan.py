@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import written
+
 #: (rule, pattern, whether the value is what stands in quotes). In the order of trial; the syntax is common to Java and RE2.
 RULES = [
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", False),
@@ -23,10 +25,10 @@ RULES = [
     ("json_web_token", r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}", False),
     ("assigned_secret", r"""(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_?KEY|[Aa]ccess_?[Kk]ey)["']?[ \t]*[:=][ \t]*["'][^"' \t\r\n]{8,}["']""", True),
 ]
-ALL = "|".join(f"(?:{p})" for _, p, _ in RULES)
-#: What follows a private key's header: all up to the END line, or the lines of a block that is cut off. Java's syntax only; the
-#: SQL below still takes the header alone as the value.
-KEY_REST = r"(?:[^-]*+(?:-(?!----)[^-]*+){0,64}+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\\[rn]|\s){0,8}[0-9A-Za-z+/=]{40,}+){0,200}+)"
+#: What follows a private key's header: all up to the END line, or the lines of a block that is cut off. Java's engine needs bounds
+#: where DuckDB's has none; they differ for a block of over 200 lines that is cut off.
+KEY_REST = r"(?:[^-]*+(?:-[^-]++){0,64}+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\\[rn]|\s){0,8}[0-9A-Za-z+/=]{40,}+){0,200}+)"
+KEY_REST_RE2 = r"(?:[^-]*(?:-[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\\[rn]|\s){0,8}[0-9A-Za-z+/=]{40,})*)"
 SCANNED = [(n, p + KEY_REST if n == "private_key" else p, q) for n, p, q in RULES]
 SCANNED_ALL = "|".join(f"(?:{p})" for _, p, _ in SCANNED)
 #: A key's body shorter than this may hold a placeholder's words; a longer one holds some of them by chance.
@@ -72,9 +74,10 @@ def scan_secrets(
     found = found.select("doc_id", "o", "r", "rule", value.alias("v"))
     key = F.col("rule") == "private_key"
     looks = (F.col("v").rlike(PLACEHOLDER) & (~key | (F.length("v") < SHORT_KEY))) | (~F.col("v").rlike(f"^{header}$") & (_entropy(F.col("v")) < min_entropy))
-    # one row a document and value from here on; the value itself is left behind
-    found = found.groupBy("doc_id", "o", "r", "rule", "v").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "o", "r", "rule", F.sha2("v", 256).alias("secret_hash"), looks.alias("looks"), "n")
-    pairs = found.groupBy("secret_hash", "o", "r").agg(F.count(F.lit(1)).alias("k"))
+    # the texts are scanned once and the findings written; values are left behind before anything is shuffled
+    found = found.select("doc_id", "o", "r", "rule", F.sha2("v", 256).alias("secret_hash"), looks.alias("looks"))
+    found = written(found.groupBy("doc_id", "o", "r", "rule", "secret_hash", "looks").agg(F.count(F.lit(1)).alias("n")), "secrets")
+    pairs = found.select("secret_hash", "o", "r").distinct()
     counts = pairs.groupBy("secret_hash").agg(
         F.count_distinct(F.coalesce(F.concat(F.lit("="), "r"), F.lit("-"))).alias("n_repos"), F.count_distinct(F.coalesce(F.concat(F.lit("="), "o"), F.lit("-"))).alias("n_owners")
     )
@@ -90,19 +93,23 @@ def _quote(s: str) -> str:
     return s.replace("'", "''")
 
 
-_WHEN = "\n".join(f"WHEN regexp_full_match(hit, '{_quote(p)}') THEN '{n}'" for n, p, _ in RULES)
+_RE2 = [(n, p + KEY_REST_RE2 if n == "private_key" else p) for n, p, _ in RULES]
+_ALL = "|".join(f"(?:{p})" for _, p in _RE2)
+_WHEN = "\n".join(f"WHEN regexp_full_match(hit, '{_quote(p)}') THEN '{n}'" for n, p in _RE2)
 _QUOTED = _quote(r"""["']([^"' \t\r\n]{8,})["']$""")
+_HEADER = _quote(RULES[0][1])
 ORACLE = rf"""
-WITH own AS (SELECT doc_id, source AS o, CAST(doc_id AS VARCHAR) AS r, unnest(regexp_extract_all(text, '{_quote(ALL)}')) AS hit FROM documents),
+WITH own AS (SELECT doc_id, source AS o, CAST(doc_id AS VARCHAR) AS r, unnest(regexp_extract_all(text, '{_quote(_ALL)}')) AS hit FROM documents),
 ruled AS (SELECT *, CASE {_WHEN} END AS rule FROM own),
-valued AS (SELECT doc_id, o, r, rule, CASE WHEN rule = 'assigned_secret' THEN regexp_extract(hit, '{_QUOTED}', 1) ELSE hit END AS v FROM ruled),
+bodies AS (SELECT *, regexp_replace(regexp_replace(hit, '^{_HEADER}|-----END [A-Z ]*PRIVATE KEY-----$', '', 'g'), '\\[rn]|\s+', '', 'g') AS body FROM ruled),
+valued AS (SELECT doc_id, o, r, rule, CASE WHEN rule = 'assigned_secret' THEN regexp_extract(hit, '{_QUOTED}', 1) WHEN rule = 'private_key' AND body <> '' THEN body ELSE hit END AS v FROM bodies),
 chars AS (SELECT v, unnest(string_split(v, '')) AS c FROM (SELECT DISTINCT v FROM valued)),
 share AS (SELECT v, c, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY v) AS p FROM chars WHERE c <> '' GROUP BY v, c),
 entropy AS (SELECT v, -sum(p * log2(p)) AS h FROM share GROUP BY v),
-counts AS (SELECT v, count(DISTINCT r) AS n_repos, count(DISTINCT o) AS n_owners FROM valued GROUP BY v)
+counts AS (SELECT v, count(DISTINCT r) AS n_repos, count(DISTINCT coalesce('=' || o, '-')) AS n_owners FROM valued GROUP BY v)
 SELECT doc_id, rule, sha256(v) AS secret_hash, n_repos, n_owners,
-  CASE WHEN n_owners >= 3 OR n_repos >= 25 THEN 'shared_example'
-       WHEN regexp_matches(v, '{_quote(PLACEHOLDER)}') OR (rule <> 'private_key' AND h < 2.5) THEN 'placeholder'
+  CASE WHEN n_owners >= 3 THEN 'shared_example'
+       WHEN (regexp_matches(v, '{_quote(PLACEHOLDER)}') AND (rule <> 'private_key' OR length(v) < {SHORT_KEY})) OR (NOT regexp_full_match(v, '{_HEADER}') AND h < 2.5) THEN 'placeholder'
        ELSE 'owner_specific' END AS verdict, count(*) AS n_in_doc
 FROM valued JOIN counts USING (v) JOIN entropy USING (v) GROUP BY ALL
 """
