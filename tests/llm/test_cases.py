@@ -118,8 +118,8 @@ def test_pages(spark):
         wrote = warc.write_pages(pages.repartition(3), folder, gzip=gzip)
         assert wrote.agg(F.sum("records")).first()[0] == len(rows)
         for size in (300, 5000, 1 << 20):
-            back = warc.read_pages(spark, folder, range_bytes=size)
-            assert sorted(map(repr, (tuple(r) for r in back.collect()))) == sorted(repr((a, b and b.replace("\r\n", "%0D%0A"), c)) for a, b, c in rows)
+            back = warc.read_pages(spark, folder, range_bytes=size, id_type="bigint")
+            assert sorted(map(repr, (tuple(r) for r in back.collect()))) == sorted(map(repr, rows))
 
 
 def test_pipeline_stages(spark, tmp_path):
