@@ -180,19 +180,41 @@ def test_licenses_against_all_pairs(docs):
     assert {(r.doc_id, r.block, r.template) for r in licences.scan_licenses(docs).collect()} == want
 
 
-def test_top_k_across_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("clustered", [True, False])
+def test_top_k_against_all_pairs(spark, clustered):
     import numpy as np
 
-    monkeypatch.setattr(topk, "BLOCK", 64)
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(300, 8))
+    x = rng.normal(size=(900, 8))
+    if clustered:
+        x = rng.normal(size=(30, 8))[rng.integers(0, 30, 900)] + 0.05 * x
+    x[:200] = x[0]  # a group of copies larger than a block
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    s = x @ x.T
+    s = np.round(x @ x.T, 12)
     np.fill_diagonal(s, -np.inf)
-    got = {(r.vec_id, r.rank): r.neighbour for r in topk.top_k(df, k=5).collect()}
-    for i, best in enumerate(np.argsort(-s, axis=1)[:, :5]):
-        assert [got[i, k + 1] for k in range(5)] == best.tolist()
+    asked = [i for i in range(900) if i % 7 == 0]
+    got = {(r.vec_id, r.rank): (r.neighbour, r.score) for r in topk.top_k(df.repartition(5), k=5, queries=F.col("vec_id") % 7 == 0, block=64).collect()}
+    assert len(got) == 5 * len(asked)
+    for i in asked:
+        best = np.lexsort((np.arange(900), -s[i]))[:5]
+        assert [got[i, k + 1][0] for k in range(5)] == best.tolist()
+        assert [got[i, k + 1][1] for k in range(5)] == pytest.approx(s[i, best].tolist())
+    assert topk.top_k(df.where("vec_id < 70"), k=5, block=16).count() == 350
+
+
+def test_lists_that_cannot_hold_an_answer_are_not_opened():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    q = np.eye(16)[:4]
+    near, far = q[0] + 0.01 * rng.normal(size=(50, 16)), -q[0] + 0.01 * rng.normal(size=(50, 16))
+    cut = np.full(4, 0.9)
+    for x, hit in ((near, {0}), (far, set())):
+        centre = x.mean(0)
+        radius = np.array([np.linalg.norm(x[:, g] - centre[g], axis=1).max() for g in topk._shards(16)])
+        i, j = topk.collect(q, cut, x, centre, radius)
+        assert set(i.tolist()) == hit and len(j) == 50 * len(hit)
 
 
 def test_pipeline_against_its_parts(spark):
