@@ -10,8 +10,9 @@ from ..sources.shared import new_path, remove, shared_dir, written
 
 __all__ = ["BROADCAST_ROWS", "free_name", "local_path", "new_path", "qualified", "remove", "shared_dir", "sized", "table", "written"]
 
-#: Rows of a key-only side up to which it is broadcast (8-byte keys: about 64 MB as a hash relation); above it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a key-only side up to which it is broadcast (a few 8-byte keys: about 16 MB as a hash relation); above it the join shuffles.
+BROADCAST_ROWS = 500_000
+
 
 def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The frame with a broadcast hint if it has at most `limit` rows; beyond that the planner shuffles it."""

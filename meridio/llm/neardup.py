@@ -2,14 +2,16 @@
 
 1. One pass hashes each text's words, takes the set of adjacent word pairs as shingles and computes its MinHash signature and
    the hashes of its bands. It is written once; texts with the same words share one node from here on.
-2. Nodes that share a band form a bucket; equal buckets of different bands are one. A large bucket is split into blocks, and
-   each pair of blocks is a task of its own, so memory is bounded whatever the bucket's size.
-3. Inside a bucket signatures are compared batch by batch. After each batch a pair is dropped once the posterior probability
-   that its similarity reaches the threshold falls below the miss probability. Pairs that are almost certainly similar join
-   their nodes at once, so a group of thousands needs about as many pairs as it has nodes; the uncertain pairs between nodes
-   that aren't joined all remain.
-4. Survivors are verified exactly on their shingle sets: first the near-certain pairs, then those uncertain pairs that the
-   components of the verified ones don't connect already. Components of all verified pairs are the groups.
+2. Nodes that share a band form a bucket. Every node of a bucket is paired with the bucket's smallest node, its hub, so a group
+   of thousands gives about as many pairs as it has nodes. Signatures are compared batch by batch; after each batch a pair is
+   dropped once the posterior probability that its similarity reaches the threshold falls below the miss probability.
+3. Survivors are verified exactly on their shingle sets: first one near-certain pair a node, then those of the others whose ends
+   the verified pairs don't connect already.
+4. Buckets whose members aren't all connected by verified pairs are looked at again: all pairs between members of different
+   components are compared, and the survivors verified. So no pair that shares a band is left out but those within a component,
+   whichever pairs of the steps before have failed. Members of a bucket's largest component are compared with the others only,
+   and all are split into blocks, so that no task holds a bucket.
+5. Components of all verified pairs are the classes. Links are counted within classes by exact similarity, in blocks.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
-from ._shared import free_name, sized, written
+from ._shared import free_name, remove, sized, written
 from ._text import chunks, code_points, mix, spans, word_hashes
 
-BANDS, ROWS, STEP = 32, 5, 32
+BANDS, ROWS, STEP = 40, 4, 32  # a pair at similarity 0.6 shares a band with probability 0.996
 HASHES = BANDS * ROWS
-BLOCK = 2048  # nodes of a bucket that a task compares with each other or with another block
+BLOCK = 512  # nodes of a bucket, or texts of a class, that a task compares with each other or with another block
+SPOKES = 2000  # pairs of a hub that one task verifies
 PIECE = 750_000
 
 _LUT: list[np.ndarray] = []
@@ -145,12 +147,12 @@ def bounds(threshold: float, miss: float) -> tuple[tuple[int, ...], int]:
     return least, next((m for m in range(HASHES + 1) if reach(m, HASHES) >= 1 - miss), HASHES)
 
 
-def compare(sig: np.ndarray, i: int, others: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Those of `others` whose signatures can't be ruled out against row i's, and their agreeing hashes."""
-    alive, agree = others, np.zeros(len(others), np.int64)
+def compare(a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows of a and b can't be ruled out, and their agreeing hashes; a pair that is ruled out isn't compared further."""
+    alive, agree = np.arange(len(a)), np.zeros(len(a), np.int64)
     for k, m in enumerate(least):
         part = slice(k * STEP, (k + 1) * STEP)
-        agree = agree + (sig[alive, part] == sig[i, part]).sum(1)
+        agree = agree + (a[alive, part] == b[alive, part]).sum(1)
         ok = agree >= m
         if not ok.all():
             alive, agree = alive[ok], agree[ok]
@@ -159,34 +161,6 @@ def compare(sig: np.ndarray, i: int, others: np.ndarray, least: tuple[int, ...])
     return alive, agree
 
 
-def bucket_pairs(sig: np.ndarray, least: tuple[int, ...], sure: int) -> tuple[list, list]:
-    """Pairs of rows: a spanning forest of the near-certain ones, and all uncertain ones between its trees."""
-    k = len(sig)
-    if k == 2:
-        alive, agree = compare(sig, 0, np.array([1]), least)
-        return ([(0, 1)], []) if len(alive) and agree[0] >= sure else ([], [(0, 1)] if len(alive) else [])
-    left, tree = np.arange(k), np.full(k, -1)
-    strong, weak = [], []
-    number = 0
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        tree[queue[0]] = number
-        while queue and len(left):
-            i = queue.pop()
-            alive, agree = compare(sig, i, left, least)
-            if not len(alive):
-                continue
-            joins = alive[agree >= sure]
-            weak.extend((i, int(j)) for j in alive[agree < sure])
-            if len(joins):
-                strong.extend((i, int(j)) for j in joins)
-                tree[joins] = number
-                queue.extend(joins.tolist())
-                left = left[tree[left] < 0]
-        number += 1
-    return strong, [(i, j) for i, j in weak if tree[i] != tree[j]]
-
-
 def by_group(batches, keys: int):
     """Whole groups of rows with equal values in the first `keys` columns, of input sorted by them; lists of groups as tables with bounds."""
     held = None
@@ -208,57 +182,89 @@ def by_group(batches, keys: int):
         yield held, np.array([0, held.num_rows])
 
 
-def _candidates(threshold: float, miss: float):
+def _matrix(column) -> np.ndarray:
+    """Signatures of a binary column, a row each."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    first = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset] if len(flat) else 0
+    return np.frombuffer(flat.buffers()[2], np.uint16, len(flat) * HASHES, first).reshape(-1, HASHES) if len(flat) else np.empty((0, HASHES), np.uint16)
+
+
+def _screened(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """(a, b, sure): those of the pairs (a, b) that sequential verification doesn't rule out; sure ones are almost certainly similar."""
     least, sure = bounds(threshold, miss)
 
+    def run(batches):
+        for batch in batches:
+            alive, agree = compare(_matrix(batch.column(2)), _matrix(batch.column(3)), least)
+            at = pa.array(alive)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(agree >= sure)], names=["a", "b", "sure"])
+
+    hubs = sigs.join(sized(pairs.select(F.col("a").alias("n")).distinct()), "n", "left_semi").select(F.col("n").alias("a"), F.col("sig").alias("sa"))
+    rows = pairs.join(sigs.select(F.col("n").alias("b"), F.col("sig").alias("sb")), "b").join(sized(hubs, limit=20_000), "a")
+    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, sure boolean")
+
+
+def _across(threshold: float, miss: float):
+    """Pairs of members of different components of each (bucket, i, j): between blocks i and j, or within the block where they are one."""
+    least, _ = bounds(threshold, miss)
+
     def run(batches):
         for t, cut in by_group(batches, 3):
-            node = t.column(3).to_numpy()
-            flat = t.column(4).combine_chunks()
-            flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-            sig = np.frombuffer(flat.buffers()[2], np.uint16, len(flat) * HASHES, np.frombuffer(flat.buffers()[1], np.int32)[flat.offset]).reshape(-1, HASHES)
-            out = [[], [], []]
+            n, comp, block, i, j = (t.column(c).to_numpy() for c in (3, 4, 5, 1, 2))
+            sig = _matrix(t.column(6))
+            out = [[], []]
             for a, b in zip(cut[:-1], cut[1:]):
-                for certain, pairs in enumerate(reversed(bucket_pairs(sig[a:b], least, sure))):
-                    for i, j in pairs:
-                        out[0].append(node[a + i])
-                        out[1].append(node[a + j])
-                        out[2].append(bool(certain))
+                first = a + np.flatnonzero(block[a:b] == i[a])
+                second = a + np.flatnonzero(block[a:b] != i[a])
+                for k, x in enumerate(first):
+                    y = second if i[a] != j[a] else first[k + 1 :]
+                    y = y[comp[y] != comp[x]]
+                    alive, _ = compare(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], least)
+                    out[0].append(np.full(len(alive), n[x]))
+                    out[1].append(n[y[alive]])
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2])], names=["a", "b", "sure"])
+                x, y = np.concatenate(out[0]), np.concatenate(out[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
 
-def candidate_pairs(feat: DataFrame, node: str, sig: str, bands: str, threshold: float, miss: float) -> DataFrame:
-    """(a, b, sure): pairs of nodes that share a band and survive sequential verification, as described for this module."""
-    own = feat.where(F.col(node).isNotNull()).select(F.col(node).alias("n"), F.explode(bands).alias("band"))
-    shared = own.groupBy("band").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).where("lo < hi").select("band")
-    shared = written(shared, "bands")
-    buckets = own.join(sized(shared), "band", "left_semi").groupBy("band").agg(F.array_sort(F.collect_set("n")).alias("m"))
-    buckets = buckets.select("m").distinct().withColumns({"bucket": F.xxhash64("m"), "last": ((F.size("m") - 1) / BLOCK).cast("int")})
-    blocks = buckets.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("j", F.explode(F.sequence("i", "last")))
-    part = [F.slice("m", F.col(x) * BLOCK + 1, BLOCK) for x in ("i", "j")]
-    members = blocks.select("bucket", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), part[0]).otherwise(F.concat(*part))).alias("n"))
-    one = feat.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("n")).agg(F.first(sig).alias("sig"))
-    rows = members.join(one, "n").select("bucket", "i", "j", "n", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "n")
-    pairs = rows.mapInArrow(_candidates(threshold, miss), "a bigint, b bigint, sure boolean")
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure"))
-
-
-def verified(pairs: DataFrame, feat: DataFrame, lead: DataFrame, node: str, row: str, text: str, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of at least the threshold."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    need = lead.join(sized(ends), "n", "left_semi").select(F.col("r").alias("_r"))
-    texts = feat.join(sized(need), F.col(row) == F.col("_r"), "left_semi").select(F.col(node).alias("n"), F.col(text).alias("t"))
-    hubs = texts.join(sized(pairs.select(F.col("a").alias("n")).distinct()), "n", "left_semi").select(F.col("n").alias("a"), F.lit(None).cast("bigint").alias("b"), "t")
-    rows = hubs.unionAll(pairs.join(texts.withColumnRenamed("n", "b"), "b").select("a", "b", "t"))
-    rows = rows.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+def _mixed_pairs(own: DataFrame, nodes: DataFrame, label: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """(a, b): pairs that share a band, are in different components and survive; own has (n, band) of the shared bands."""
+    rows = own.join(sized(label), own.n == F.col("id"), "left").select("band", "n", F.coalesce("component", "n").alias("comp"))
+    sizes = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
+    # of two members the one pair is the hub's, which has been looked at
+    mixed = sizes.groupBy("band").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("big"), F.count(F.lit(1)).alias("comps")).where("comps > 1 and all > 2")
+    mixed = mixed.select("band", F.col("big.comp").alias("big"), F.ceil((F.col("all") - F.col("big.k")) / BLOCK).alias("few"), F.ceil(F.col("big.k") / BLOCK).alias("many"))
+    rows = rows.join(sized(written(mixed, "mixed")), "band")
+    minor = F.col("comp") != F.col("big")
+    h = F.xxhash64("n", "band")
+    rows = rows.withColumn("block", F.when(minor, F.pmod(h, "few")).otherwise(F.col("few") + F.pmod(h, "many")))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(minor, F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1))))
+    rows = rows.select("band", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "n", "comp", "block")
+    rows = rows.join(nodes.select("n", "sig"), "n").select("band", "i", "j", "n", "comp", "block", "sig")
+    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "n")
+    return rows.mapInArrow(_across(threshold, miss), "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, feat: DataFrame, row: str, text: str, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of at least the threshold.
+
+    A hub's pairs are spread over as many tasks as they need, each of which gets the hub's text once.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPOKES).alias("parts"))
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct(), nodes, feat, row, text)
+    none = F.lit(None).cast("bigint")
+    hubs = texts.join(sized(parts), F.col("n") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), none.alias("b"), "t")
+    spokes = pairs.select("a", "b").join(sized(parts), "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
+    rows = hubs.unionAll(spokes.join(texts.withColumnRenamed("n", "b"), "b").select("a", "part", "b", "t"))
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
         hub = None
         for batch in batches:
-            b, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            b, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             a = batch.column(0).to_pylist()
             out = [[], []]
             for i, j in chunks([len(t) for t in texts], PIECE):
@@ -279,48 +285,155 @@ def verified(pairs: DataFrame, feat: DataFrame, lead: DataFrame, node: str, row:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def _texts(ends: DataFrame, nodes: DataFrame, feat: DataFrame, row: str, text: str) -> DataFrame:
+    """(n, t): one text of each of the nodes."""
+    need = nodes.select("n", "r").join(sized(ends), "n", "left_semi")
+    return feat.select(F.col(row).alias("r"), F.col(text).alias("t")).join(sized(need), "r").select("n", "t")
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends aren't in one component."""
+    a, b = (label.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    joined = pairs.join(sized(a), "a", "left").join(sized(b), "b", "left")
+    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def classes(feat: DataFrame, row: str, node: str, sig: str, bands: str, text: str, threshold: float, miss: float) -> tuple[DataFrame, DataFrame]:
+    """The nodes (n, r, sig, bands), r being a row of each, and (id, component) of those that are linked to another."""
+    spark = feat.sparkSession
+    nodes = feat.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("n")).agg(F.min(row).alias("r"), F.first(sig).alias("sig"), F.first(bands).alias("bands"))
+    nodes = written(nodes, "nodes")
+    own = nodes.select("n", F.explode("bands").alias("band"))
+    shared = written(own.groupBy("band").agg(F.min("n").alias("hub"), F.max("n").alias("hi")).where("hub < hi").select("band", "hub"), "bands")
+    own = written(own.join(sized(shared), "band"), "buckets")
+    star = own.where("n <> hub").groupBy(F.col("hub").alias("a"), F.col("n").alias("b")).agg(F.count(F.lit(1))).select("a", "b")
+    star = written(_screened(written(star, "stars"), nodes.select("n", "sig"), threshold, miss), "screened")
+    one = star.where("sure").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    sure = written(verified(written(one, "chosen"), nodes, feat, row, text, threshold), "verified")
+    label = written(connected_components(sure, "a", "b"), "labels")
+    rest = written(_apart(star.join(one, ["a", "b"], "left_anti"), label), "rest")
+    edges = [sure]
+    if not rest.isEmpty():
+        edges.append(written(verified(rest, nodes, feat, row, text, threshold), "verified"))
+        if not edges[-1].isEmpty():
+            label = written(connected_components(edges[0].unionAll(edges[1]), "a", "b"), "labels")
+    more = _mixed_pairs(own.select("n", "band"), nodes, label, threshold, miss).join(star.select("a", "b"), ["a", "b"], "left_anti")
+    more = written(more, "mixed-pairs")
+    if not more.isEmpty():
+        edges.append(written(verified(more, nodes, feat, row, text, threshold), "verified"))
+        if not edges[-1].isEmpty():
+            links = edges[0]
+            for x in edges[1:]:
+                links = links.unionAll(x)
+            label = written(connected_components(links, "a", "b"), "labels")
+    remove(spark, shared, own, star, rest, more, *edges)
+    return nodes, label
+
+
 def _assigned(docs: DataFrame, id_col: str, text_col: str, threshold: float, miss: float):
-    """The written features, and (row, id, group) of each row; group is null where a text has no words."""
+    """The written features and nodes, the labels, and (row, id, n, group) of each row; group is null where a text has no words."""
     row, node, sig, bands = (free_name(docs, x) for x in ("row", "node", "sig", "bands"))
     start = docs.withColumn(row, F.monotonically_increasing_id())
     schema = T.StructType([*start.schema.fields, T.StructField(node, T.LongType()), T.StructField(sig, T.BinaryType()), T.StructField(bands, T.ArrayType(T.LongType()))])
     at = docs.columns.index(text_col)
     feat = written(start.mapInArrow(lambda b: _features(b, at, schema.names), schema), "features")
-    pairs = written(candidate_pairs(feat, node, sig, bands, threshold, miss), "pairs")
-    lead = feat.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("n")).agg(F.min(row).alias("r"))
-    sure = written(verified(pairs.where("sure"), feat, lead, node, row, text_col, threshold), "verified")
-    group = connected_components(sure, "a", "b")
-    unsure = pairs.where("not sure").select("a", "b")
-    if unsure.limit(1).count():
-        a, b = (group.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        apart = unsure.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        more = verified(written(apart, "unsure"), feat, lead, node, row, text_col, threshold)
-        group = connected_components(sure.unionAll(more), "a", "b")
-    labels = group.select(F.col("id").alias(node), F.col("component").alias("_component"))
-    rows = feat.select(F.col(row).alias("_row"), F.col(id_col).alias("_id"), node).join(sized(labels), node, "left")
-    return feat, row, rows.select("_row", "_id", F.coalesce("_component", node).alias("_group"))
+    nodes, label = classes(feat, row, node, sig, bands, text_col, threshold, miss)
+    rows = feat.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(node).alias("n"))
+    rows = rows.join(sized(label.select(F.col("id").alias("n"), "component")), "n", "left")
+    return feat, row, nodes, label, rows.select("row", "id", "n", F.coalesce("component", "n").alias("group"))
 
 
-def near_duplicate_groups(docs: DataFrame, *, threshold: float = 0.6, miss: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(identifier, n_members): one row a group of near-duplicates, the smallest identifier and the number of its rows.
+def _links(threshold: float):
+    """How many of the other texts of a class each text is linked to, by (class, i, j)."""
+
+    def run(batches):
+        for t, cut in by_group(batches, 3):
+            n, block, i, j = (t.column(c).to_numpy() for c in (3, 4, 1, 2))
+            texts = t.column(5).to_pylist()
+            out = [[], []]
+            for a, b in zip(cut[:-1], cut[1:]):
+                sh, size = shingles(*words(texts[a:b]))
+                doc = np.repeat(np.arange(b - a), size)
+                by = np.lexsort((doc, sh))
+                sh, doc = sh[by], doc[by]
+                new = np.concatenate(([True], (sh[1:] != sh[:-1]) | (doc[1:] != doc[:-1])))  # a shingle counts once a text
+                sh, doc = sh[new], doc[new]
+                size = np.bincount(doc, minlength=b - a)
+                word = np.cumsum(np.concatenate(([False], sh[1:] != sh[:-1])))
+                often = np.bincount(word)[word] > 1
+                doc, word = doc[often], word[often]
+                word = np.cumsum(np.concatenate(([False], word[1:] != word[:-1]))) if len(word) else word
+                both = np.zeros((b - a, b - a))
+                for first in range(0, int(word[-1]) + 1 if len(word) else 0, 4096):
+                    part = slice(*np.searchsorted(word, (first, first + 4096)))
+                    m = np.zeros((b - a, 4096), np.float32)
+                    m[doc[part], word[part] - first] = 1
+                    both += m @ m.T
+                near = both >= threshold * (size[:, None] + size[None, :] - both)
+                np.fill_diagonal(near, False)
+                mine = block[a:b] == i[a]
+                if i[a] != j[a]:  # only between the two blocks
+                    near &= mine[:, None] != mine[None, :]
+                out[0].append(n[a:b])
+                out[1].append(near.sum(1))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["n", "links"])
+
+    return run
 
-    Rows whose sets of adjacent lower-case word pairs have a Jaccard similarity of at least `threshold` are linked, groups are
-    the connected components; a row with no partner is a group of its own. A text of one word has that word as its only shingle.
+
+def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.6, miss: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(identifier, class_id, n_links): a row for each row of the table that has a near-duplicate or copy; others have no class.
+
+    Rows whose sets of adjacent lower-case word pairs have a Jaccard similarity of at least `threshold` are linked, classes are
+    the connected components and named by their smallest identifier. n_links is the number of different other texts that a
+    row's text is linked to; copies, which have the same words in the same order, aren't counted. A text of one word has that
+    word as its only shingle. `miss` bounds the posterior probability of a pair that signatures rule out.
+
+    Counting links costs the square of a class's different texts, in blocks spread over tasks; near_duplicate_groups and
+    drop_near_duplicates don't need it.
 
     Defined cases: null, empty and other texts without words are never near-duplicates; a null identifier counts as the
-    largest; repeated rows are members of one group; rows that tie on the smallest identifier leave one; an empty table gives an
-    empty one; texts of any length are used whole; extra columns don't matter here and pass through drop_near_duplicates.
+    largest; repeated rows are members of one class; an empty table gives an empty one; texts of any length are used whole;
+    extra columns don't matter here and pass through drop_near_duplicates.
+    """
+    feat, row, nodes, label, rows = _assigned(docs.select(id_col, text_col), id_col, text_col, threshold, miss)
+    size = label.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    members = label.join(sized(size), "component").select("component", F.col("id").alias("n"), F.pmod(F.xxhash64("id"), "parts").alias("block"), "parts")
+    members = members.withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    members = members.join(_texts(label.select(F.col("id").alias("n")), nodes, feat, row, text_col), "n")
+    members = members.select("component", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "n", "block", "t")
+    members = members.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "n")
+    links = members.mapInArrow(_links(threshold), "n bigint, links bigint").groupBy("n").agg(F.sum("links").alias("links"))
+    best = F.min(F.struct(F.col("id").isNull(), "id"))
+    groups = rows.where("group is not null").groupBy("group").agg(best.alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("group", "x.id", "k")
+    found = rows.select("id", "n", "group").join(sized(groups.select("group", F.col("id").alias("class_id"))), "group").join(sized(links), "n", "left")
+    found = written(found.select(F.col("id").alias(id_col), "class_id", F.coalesce("links", F.lit(0)).alias("n_links")), "classes")
+    remove(docs.sparkSession, feat, nodes, label)
+    return found
+
+
+def near_duplicate_groups(docs: DataFrame, *, threshold: float = 0.6, miss: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(identifier, n_members): one row a class of near_duplicate_classes, and one for each row without a class; cases as there.
+
+    The identifier is the smallest of the class; rows that tie on it leave one.
     """
-    _, _, rows = _assigned(docs.select(id_col, text_col), id_col, text_col, threshold, miss)
-    best = F.min(F.struct(F.col("_id").isNull(), "_id"))
-    groups = rows.where("_group is not null").groupBy("_group").agg(best.alias("x"), F.count(F.lit(1)).alias("n_members"))
-    alone = rows.where("_group is null").select(F.col("_id").alias(id_col), F.lit(1).cast("bigint").alias("n_members"))
-    return groups.select(F.col("x._id").alias(id_col), "n_members").unionAll(alone)
+    feat, _, nodes, label, rows = _assigned(docs.select(id_col, text_col), id_col, text_col, threshold, miss)
+    best = F.min(F.struct(F.col("id").isNull(), "id"))
+    groups = rows.where("group is not null").groupBy("group").agg(best.alias("x"), F.count(F.lit(1)).alias("n_members"))
+    alone = rows.where("group is null").select(F.col("id").alias(id_col), F.lit(1).cast("bigint").alias("n_members"))
+    found = written(groups.select(F.col("x.id").alias(id_col), "n_members").unionAll(alone), "groups")
+    remove(docs.sparkSession, feat, nodes, label)
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, *, threshold: float = 0.6, miss: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows without those that near_duplicate_groups counts behind a smaller identifier; columns as they came, cases as there."""
-    feat, row, rows = _assigned(docs, id_col, text_col, threshold, miss)
-    order = Window.partitionBy("_group").orderBy(F.col("_id").asc_nulls_last(), "_row")
-    gone = written(rows.where("_group is not null").withColumn("k", F.row_number().over(order)).where("k > 1").select("_row"), "dropped")
-    return feat.join(sized(gone), F.col(row) == F.col("_row"), "left_anti").select(*docs.columns)
+    feat, row, nodes, label, rows = _assigned(docs, id_col, text_col, threshold, miss)
+    # by aggregation, not by a window, so that no task sorts a whole group
+    best = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x"), F.count(F.lit(1)).alias("k"))
+    best = written(best.where("k > 1").select("group", F.col("x.row").alias("lead")), "leads")
+    key = free_name(feat, "gone")
+    gone = written(rows.join(sized(best), "group").where("row <> lead").select(F.col("row").alias(key)), "dropped")
+    remove(docs.sparkSession, nodes, label, best)
+    return feat.join(sized(gone), F.col(row) == F.col(key), "left_anti").select(*docs.columns)

@@ -49,7 +49,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_minhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
 @query("op6_mix_sources")
