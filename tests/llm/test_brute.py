@@ -217,14 +217,27 @@ def test_secrets_by_ownership(spark):
     assert got[11, "assigned_secret"].verdict == "placeholder"
 
 
-def test_licenses_against_all_pairs(docs):
+def test_licenses_against_every_block(docs):
+    import random
+
     sets = licences.token_sets(licences.TEMPLATES, licences.THRESHOLD)
+    r, rows = random.Random(2), [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
+    for k, (_, text) in enumerate(licences.TEMPLATES):  # with words left out and put in
+        own = [w for w in text.split() if r.random() < 0.93]
+        for _ in range(len(own) // 12):
+            own.insert(r.randrange(len(own)), "zz")
+        rows.append((10_000 + k, "lead in " + "\n".join([" ".join(own), "the of and a " * 9, " ".join(own)])))
     want = set()
-    for r in docs.select("doc_id", "text").collect():
-        for b, line in enumerate(r.text.lower().split("\n")):
-            own = set(re.findall(licences.TOKEN, line))
-            want |= {(r.doc_id, b, k) for k, _, tokens, least in sets if len(own & set(tokens)) >= least}
-    assert {(r.doc_id, r.block, r.template) for r in licences.scan_licenses(docs).collect()} == want
+    for i, text in rows:
+        words = re.findall(licences.TOKEN, text.lower())
+        for k, _, tokens, least, width in sets:
+            own, last = set(tokens), None
+            for p, w in enumerate(words):
+                if w in own and len(own & set(words[p : p + width])) >= least:
+                    want |= {(i, p, k)} if last is None or p - last >= width else set()
+                    last = p
+    got = licences.scan_licenses(docs.sparkSession.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert len(want) > 30 and {(r.doc_id, r.block, r.template) for r in got} == want and len(got) == len(want)
 
 
 @pytest.mark.parametrize("clustered", [True, False])

@@ -18,6 +18,12 @@ def test_wrapped_and_short_license_lines(spark):
     texts = [f"A\nB\n{MIT}", GPL, f"x\n{BSD}", APACHE, "prose\nAll rights reserved.\nmore", "Released under the MIT License", None]
     rows = [*enumerate(texts), (3, "other"), (None, BSD)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted(((r.doc_id, r.license, r.block, r.n_lines) for r in licences.scan_wrapped_licenses(docs).collect()), key=str)
-    want = [(0, "MIT", 2, 2), (1, "GPL-3.0", 0, 2), (2, "BSD", 1, 2), (3, "Apache-2.0", 0, 2), (4, "all-rights-reserved", 1, 1), (5, "MIT", 0, 1), (None, "BSD", 0, 2)]
+    got = sorted(((r.doc_id, r.license, r.block) for r in licences.scan_licenses(docs).collect()), key=str)
+    want = [(0, "MIT", 0), (1, "GPL-3.0", 0), (2, "BSD", 1), (3, "Apache-2.0", 0), (4, "all-rights-reserved", 1), (5, "MIT", 0), (None, "BSD", 0)]
     assert got == sorted(want, key=str)
+
+
+def test_full_notices(spark):
+    docs = spark.createDataFrame([(k, "x " * k + text) for k, (_, text) in enumerate(licences.TEMPLATES)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.template, r.block, r.containment) for r in licences.scan_licenses(docs).collect()}
+    assert all((k, k, k, 1.0) in got for k in range(len(licences.TEMPLATES)))
