@@ -1,13 +1,14 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-Words become classes through a lexicon. Four letter-to-letter transducers are composed into one machine: negation relabels an
+Words become classes through a lexicon. Five letter-to-letter transducers are composed into one machine: negation relabels an
 insult or threat in its scope, reported speech relabels what follows a verb of saying, the target transducer relabels what
-stands by a second or third person, and the last gives weights and finishes threats, which need a speaker, an intention, an act
-and a target in order. A clause's score is the weight of its path; a document's is the sum over its clauses. An insult that is
-negated, quoted or only mentioned therefore counts little or nothing, wherever its words stand.
+stands by a second or third person, the insult transducer weighs insults by their marks and an intensifier before them, and the
+threat transducer follows a speaker, an intention, an act and a target in order and gives the weight when they are complete. A
+clause's score is the weight of its path; a document's is the sum over its clauses. An insult that is negated, quoted or only
+mentioned therefore counts little or nothing, wherever its words stand.
 
 The lexicon has a built-in part and a part learned from labelled documents: words that occur in a good share of a language's
-toxic documents and next to never in clean ones, copies of a document counting once.
+toxic documents and next to never in clean ones, equal texts counting once.
 
 Texts are searched once for core words by an Aho-Corasick automaton; only clauses around a hit are taken apart.
 """
@@ -15,7 +16,6 @@ Texts are searched once for core words by an Aho-Corasick automaton; only clause
 from __future__ import annotations
 
 import re
-import zlib
 from functools import cache
 
 import pyarrow as pa
@@ -95,41 +95,63 @@ WEIGHTS = {INSULT: 1.0, MILD: 0.6}
 NEGATED, REPORTED, AIMED, INTENSE, THREAT = 0.0, 0.25, 1.5, 1.2, 3.0
 
 
-class Scores:
-    """The last transducer: copies the letters and gives the weights.
+MARKS = [f"{neg}{rep}{aim}" for neg in ("", "/neg") for rep in ("", "/rep") for aim in ("", "/aim")]
 
-    Its state is (letters left in which an intensifier counts, stage of a threat, letters left for the threat's next stage).
-    """
 
-    start = (0, 0, 0)
+def insults() -> Transducer:
+    """Weighs each insult by its marks; its state is how many letters an intensifier still reaches."""
+    t = Transducer(0)
+    for left in range(3):
+        t.otherwise(left, max(left - 1, 0))
+        t.arc(left, STRONGER, STRONGER, 2)
+        for base, weight in WEIGHTS.items():
+            for marks in MARKS:
+                w = weight * (INTENSE if left else 1.0)
+                for mark, factor in (("neg", NEGATED), ("rep", REPORTED), ("aim", AIMED)):
+                    w *= factor if mark in marks else 1.0
+                t.arc(left, base + marks, base + marks, max(left - 1, 0), w)
+    return t
 
-    def step(self, state, letter):
-        boost, stage, left = state
-        base, *marks = letter.split("/")
-        s, n, w = stage, max(left - 1, 0), 0.0
-        if base == SELF:
-            s, n = 1, 6
-        elif base == WILL and stage == 1 and left:
-            s, n = 2, 6
-        elif base == ACT and stage == 2 and left:
-            s, n = (3 if not marks else 4 if marks == ["rep"] else 0), 5
-        elif base == TARGET and stage in (3, 4) and left:
-            w, s, n = THREAT * (1.0 if stage == 3 else REPORTED), 0, 0
-        if base in WEIGHTS:
-            w = WEIGHTS[base] * (AIMED if "aim" in marks else 1.0) * (INTENSE if boost else 1.0)
-            w *= (NEGATED if "neg" in marks else 1.0) * (REPORTED if "rep" in marks else 1.0)
-        return letter, (2 if base == STRONGER else max(boost - 1, 0), s if s and n else 0, n if s else 0), w
 
+def threats() -> Transducer:
+    """Weighs a speaker, an intention, an act and a target that follow each other within reach; a negated act breaks it off.
 
-@cache
-def grammar() -> Composed:
-    """negation o reported speech o target o weights."""
+    A state is (what has been seen, letters left for what is missing); a reported act leads to a stage of its own.
+    """
+    t = Transducer("none")
+    seen = {"self": 6, "will": 6, "act": 5, "act/rep": 5}
+    states = ["none", *((stage, left) for stage, reach in seen.items() for left in range(1, reach + 1))]
+    acts = [f"{ACT}{m}" for m in ("", "/neg", "/rep", "/neg/rep")]
+    for state in states:
+        stage, left = state if state != "none" else ("none", 0)
+        t.otherwise(state, (stage, left - 1) if left > 1 else "none")
+        t.arc(state, SELF, SELF, ("self", seen["self"]))
+        if stage == "self":
+            t.arc(state, WILL, WILL, ("will", seen["will"]))
+        if stage == "will":
+            for act in acts:
+                t.arc(state, act, act, (act, seen[act]) if act in seen else "none")
+        if stage.startswith("act"):
+            t.arc(state, TARGET, TARGET, "none", THREAT * (REPORTED if stage == "act/rep" else 1.0))
+    return t
+
+
+def cascade() -> list[Transducer]:
+    """Negation, reported speech, target, insult, threat."""
     cores = [INSULT, MILD, ACT]
     negation = within(NOT, 4, cores, "neg", (STRONGER,))
     reported = within(SAY, 12, [*cores, *(f"{x}/neg" for x in cores)], "rep")
     marked = [f"{x}{m}" for x in (INSULT, MILD) for m in ("", "/neg", "/rep", "/neg/rep")]
-    target = within(TARGET, 5, marked, "aim", (STRONGER,))
-    return Composed(Composed(Composed(negation, reported), target), Scores())
+    return [negation, reported, within(TARGET, 5, marked, "aim", (STRONGER,)), insults(), threats()]
+
+
+@cache
+def grammar() -> Composed:
+    """The transducers of the cascade composed into one machine."""
+    machine, *rest = cascade()
+    for t in rest:
+        machine = Composed(machine, t)
+    return machine
 
 
 class Matcher:
@@ -190,11 +212,6 @@ def _distinct_words(text: str | None) -> set[str]:
     return {m.replace("’", "'") for m in WORD.findall(text.lower())} if text else set()
 
 
-def _copy_key(words: set[str]) -> int:
-    """Alike for copies, and for most near copies, of a text: the least hash of its words."""
-    return min((zlib.crc32(w.encode("utf-8", "surrogatepass"), 0x5EED) for w in words if len(w) > 3), default=0)
-
-
 def learn_lexicon(
     docs: DataFrame, labels: DataFrame, *, share: float = 0.04, precision: float = 0.95, least: int = 4,
     id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", label_col: str = "toxic",
@@ -202,22 +219,24 @@ def learn_lexicon(
     """Words to treat as mild insults, from labelled documents: {word: class}. One of them alone doesn't make a document toxic.
 
     A word is taken if it occurs in at least `share` of a language's toxic documents, and in `least` of them, and if at least
-    `precision` of the documents it occurs in are toxic; copies and near copies count once. All labelled rows are used. At most
+    `precision` of the documents it occurs in are toxic; equal texts of a language count once. All labelled rows are used. At most
     (words of a document / share) words a language can pass, so the lexicon doesn't grow with the corpus.
+
+    Defined cases: rows with a null identifier, label, or a null or empty text teach nothing; an identifier that is labelled both
+    ways counts as toxic; a null language is the language ""; extra columns are ignored; empty tables give an empty lexicon.
     """
-    given = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_toxic")).where("_id is not null and _toxic is not null")
-    given = given.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    rows = rows.join(sized(given), F.col("_doc") == F.col("_id")).select("lang", "text", "_toxic")
-    toxic, clean = rows.where("_toxic = 1"), rows.where("_toxic = 0")
+    given = labels.select(F.col(id_col).alias("of"), F.col(label_col).alias("toxic")).where("of is not null and toxic is not null")
+    given = given.groupBy("of").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    rows = rows.join(sized(given), F.col("doc") == F.col("of")).select("lang", "text", "toxic")
+    toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
 
     def distinct(only: set[str] | None):
         def run(batches):
             for batch in batches:
                 out: list[list] = [[], [], []]
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for lang, text, key in zip(*(c.to_pylist() for c in batch.columns)):
                     own = _distinct_words(text)
-                    key = _copy_key(own)
                     own = own if only is None else own & only
                     out[0] += [lang] * (len(own) + 1)
                     out[1] += ["", *own]
@@ -227,7 +246,7 @@ def learn_lexicon(
         return run
 
     def counted(part: DataFrame, only: set[str] | None) -> DataFrame:
-        pairs = part.select("lang", "text").mapInArrow(distinct(only), "lang string, word string, key bigint")
+        pairs = part.select("lang", "text", F.xxhash64("text")).mapInArrow(distinct(only), "lang string, word string, key bigint")
         return pairs.distinct().groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
     seen = written(counted(toxic, None), "toxic-words")
@@ -264,4 +283,4 @@ def toxicity(docs: DataFrame, *, lexicon: dict[str, str] | None = None, threshol
             new = [pa.array([s[i] for s in scores], k) for i, k in enumerate((pa.float64(), pa.int32(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *new], names=schema.names).filter(keep)
 
-    return docs.select(*carry, docs[text_col].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col(text_col).alias(free_name(docs, "judged"))).mapInArrow(run, schema)
