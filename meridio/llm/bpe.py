@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import free_name
@@ -168,7 +169,7 @@ def encode(docs: DataFrame, *, vocab: str = VOCAB, text_col: str = "text", ids_c
     """
     carry = docs.columns if carry is None else carry
     ids_col = free_name(docs, ids_col)
-    rows = docs.select(*carry, docs[text_col].alias("_text"))
+    rows = docs.select(*carry, F.col(text_col).alias(free_name(docs, "encoded")))
     new = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(free_name(docs, check_col), T.BooleanType())] if check_col else [])
     schema = T.StructType([*(docs.schema[c] for c in carry), *new])
     at = len(carry)

@@ -54,7 +54,11 @@ def duel(p: np.ndarray, key: np.ndarray, seed: int, eps: float = 1e-9) -> np.nda
 
 
 def tempered_weights(docs: DataFrame, *, source_col: str = "source", temperature: float = 0.7) -> DataFrame:
-    """(source, weight): each source's share of the rows to the power of `temperature`, summing to 1; over all rows."""
+    """(source, weight): each source's share of the rows to the power of `temperature`, summing to 1; over all rows.
+
+    Defined cases: a null source is a source of its own; repeated rows count as often as they occur; texts, identifiers and extra
+    columns don't matter; an empty table gives an empty one.
+    """
     n = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     w = F.pow(F.col("n").cast("double"), F.lit(temperature))
     total = n.agg(F.sum(w).alias("all"))
@@ -136,16 +140,17 @@ def mix_sources(docs: DataFrame, weights: DataFrame, *, total: int | None = None
     The keys of rows that aren't repeated are broadcast if there are few enough and shuffled otherwise; rows that share their
     key with another, as wholly repeated ones do, are numbered by a window first.
     """
-    key, number, copies, each = (free_name(docs, x) for x in ("row_key", "row_number", "copies", "copy"))
+    key, number, copies, each, k, n = (free_name(docs, x) for x in ("row_key", "row_number", "copies", "copy", "copy_key", "copy_number"))
     counts = source_copies(docs, weights, total=total, seed=seed, id_col=id_col, source_col=source_col, text_col=text_col)
-    counts = written(counts.select(F.col("key").alias("_k"), F.col("number").alias("_n"), F.col("copies").alias(copies)), "copies")
-    repeated = written(counts.where("_n > 1").select(F.col("_k").alias("_r")).distinct(), "repeated")
+    counts = written(counts.select(F.col("key").alias(k), F.col("number").alias(n), F.col("copies").alias(copies)), "copies")
+    twice = free_name(docs, "repeated_key")
+    repeated = written(counts.where(F.col(n) > 1).select(F.col(k).alias(twice)).distinct(), "repeated")
     keyed = docs.withColumn(key, _key(id_col, source_col, text_col))
     some = sized(repeated)
-    once = counts.join(some, F.col("_k") == F.col("_r"), "left_anti").where(F.col(copies) > 0).select("_k", copies)
-    single = keyed.join(sized(once), F.col(key) == F.col("_k"))
-    more = keyed.join(some, F.col(key) == F.col("_r"), "left_semi")
+    once = counts.join(some, F.col(k) == F.col(twice), "left_anti").where(F.col(copies) > 0).select(k, copies)
+    single = keyed.join(sized(once), F.col(key) == F.col(k))
+    more = keyed.join(some, F.col(key) == F.col(twice), "left_semi")
     more = more.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
-    more = more.join(sized(counts.join(some, F.col("_k") == F.col("_r"), "left_semi").where(F.col(copies) > 0)), (F.col(key) == F.col("_k")) & (F.col(number) == F.col("_n")))
+    more = more.join(sized(counts.join(some, F.col(k) == F.col(twice), "left_semi").where(F.col(copies) > 0)), (F.col(key) == F.col(k)) & (F.col(number) == F.col(n)))
     out = [x.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns) for x in (single, more)]
     return out[0].unionAll(out[1])

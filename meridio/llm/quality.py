@@ -491,7 +491,8 @@ def quality_scores(
     `carry` names the columns to return (all by default); new columns that clash with them have underscores appended.
     """
     carry = docs.columns if carry is None else carry
-    lp, n, tr, ppl, kept, tid, split, name = (free_name(docs, x) for x in ("sum_logp", "n_symbols", "trusted", "perplexity", "kept", "trusted_id", "split", "model"))
+    names = ("sum_logp", "n_symbols", "trusted", "perplexity", "kept", "trusted_id", "split", "model", "mean_logp", "quantiles")
+    lp, n, tr, ppl, kept, tid, split, name, centre, quantiles = (free_name(docs, x) for x in names)
     ids = trusted_ids.select(F.col(id_col).alias(tid)).where(F.col(tid).isNotNull()).distinct()
     # 8 bytes an id: broadcast if there are few enough, else shuffled
     # the split of a row is the same whenever its file is read; rows that come from no file are one split
@@ -517,16 +518,16 @@ def quality_scores(
     scored = written(scored.select(*carry, F.coalesce(F.col(lang_col), F.lit("")).alias(tid), tr, lp, n), "scored")
     # a row a language from here on: bounded by the number of languages, so broadcast
     known = scored.where(F.col(lp).isNotNull() & F.col(tr))
-    mean = known.groupBy(tid).agg((F.sum(lp) / F.sum(n)).alias("_mean"))
+    mean = known.groupBy(tid).agg((F.sum(lp) / F.sum(n)).alias(centre))
 
     def perplexity():
-        return F.exp(-(F.col(lp) + prior_chars * F.col("_mean")) / (F.col(n) + prior_chars))
+        return F.exp(-(F.col(lp) + prior_chars * F.col(centre)) / (F.col(n) + prior_chars))
 
     bounds = known.join(F.broadcast(mean), tid).groupBy(tid).agg(
-        F.percentile_approx(perplexity(), F.array(F.lit(low), F.lit(high)), 10_000).alias("_q"), F.first("_mean").alias("_mean")
+        F.percentile_approx(perplexity(), F.array(F.lit(low), F.lit(high)), 10_000).alias(quantiles), F.first(centre).alias(centre)
     )
     p = scored.join(F.broadcast(bounds), tid, "left").withColumn(ppl, F.when(F.col(lp).isNotNull(), perplexity()))
-    inside = (F.col(ppl) <= F.col("_q")[1]) & ((F.col(ppl) >= F.col("_q")[0]) if low > 0 else F.lit(True))
+    inside = (F.col(ppl) <= F.col(quantiles)[1]) & ((F.col(ppl) >= F.col(quantiles)[0]) if low > 0 else F.lit(True))
     return p.withColumn(kept, F.when(F.col(n) == 0, False).otherwise(F.coalesce(inside, F.lit(True)))).select(*carry, ppl, kept)
 
 

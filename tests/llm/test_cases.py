@@ -41,6 +41,7 @@ def applied(spark, docs):
         "exact_groups": exactdup.exact_duplicate_groups(docs),
         "near": neardup.drop_near_duplicates(docs),
         "near_groups": neardup.near_duplicate_groups(docs),
+        "near_classes": neardup.near_duplicate_classes(docs),
         "mix": mixing.mix_sources(docs, mixing.tempered_weights(docs)),
         "bpe": bpe.encode(docs, check_col="ok"),
         "secrets": secretscan.scan_secrets(docs),
@@ -49,7 +50,7 @@ def applied(spark, docs):
     }
 
 
-CLASHES = ["content", "row", "node", "sig", "bands", "row_key", "row_number", "copies", "copy", "token_ids", "perplexity", "kept", "sum_logp", "n_symbols", "trusted", "trusted_id", "toxicity", "toxic_clauses", "worst_clause", "ok", "leaf", "h", "p", "s", "id"]
+CLASHES = ["content", "row", "node", "sig", "bands", "row_key", "row_number", "copies", "copy", "token_ids", "perplexity", "kept", "sum_logp", "n_symbols", "trusted", "trusted_id", "toxicity", "toxic_clauses", "worst_clause", "ok", "leaf", "h", "p", "s", "id", "_text", "_row", "_k", "_n", "_r", "_mean", "_q", "_least", "_id", "_group", "_component", "judged", "encoded", "copy_key", "copy_number", "repeated_key", "gone", "n", "r", "model", "split", "mean_logp", "quantiles", "doc", "of", "group", "class_id", "n_links"]
 
 
 def test_awkward_rows_with_clashing_columns(spark):
