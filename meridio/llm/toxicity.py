@@ -213,10 +213,11 @@ def _distinct_words(text: str | None) -> set[str]:
 
 
 def learn_lexicon(
-    docs: DataFrame, labels: DataFrame, *, share: float = 0.04, precision: float = 0.95, least: int = 4,
+    docs: DataFrame, labels: DataFrame, *, share: float = 0.04, precision: float = 0.95, least: int = 4, firm: int = 8,
     id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", label_col: str = "toxic",
 ) -> dict[str, str]:
-    """Words to treat as mild insults, from labelled documents: {word: class}. One of them alone doesn't make a document toxic.
+    """Words to treat as insults, from labelled documents: {word: class}. A word of fewer than `firm` toxic documents is a mild one,
+    so that one of them alone doesn't make a document toxic.
 
     A word is taken if it occurs in at least `share` of a language's toxic documents, and in `least` of them, and if at least
     `precision` of the documents it occurs in are toxic; equal texts of a language count once. All labelled rows are used. At most
@@ -256,7 +257,8 @@ def learn_lexicon(
     for r in often.groupBy("word").agg(F.sum("n").alias("n")).collect():
         bad[r.word] = r.n
     good = {r.word: r.n for r in counted(clean, set(bad)).groupBy("word").agg(F.sum("n").alias("n")).collect()} if bad else {}
-    return {w: MILD for w, n in bad.items() if n >= precision * (n + good.get(w, 0))}
+    sure = lambda w, n: n >= firm and good.get(w, 0) <= (1 - precision) / 5 * n
+    return {w: INSULT if sure(w, n) else MILD for w, n in bad.items() if n >= precision * (n + good.get(w, 0))}
 
 
 def toxicity(docs: DataFrame, *, lexicon: dict[str, str] | None = None, threshold: float = 1.0, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
