@@ -6,11 +6,13 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import written
+from ..sources.shared import remove, written
 from .components import connected_components
 
 #: Centroids beyond which a frame of them isn't broadcast.
@@ -84,40 +86,84 @@ def kmeans(points: DataFrame, start: DataFrame, *, iterations: int = 100, tol: f
     """(assigned points, centroids, history of the sum of squared errors) by Lloyd's algorithm from the given centroids.
 
     Ends when no centroid moves by tol or more (never, if tol is None). An empty cluster takes the farthest point of that
-    round, the same for all empty ones. Centroids are k rows, so they alone come to the driver.
+    round, the same for all empty ones. A round is one pass in which tasks add up their points by cluster; centroids are k rows,
+    so they alone come to the driver.
     """
     spark, history = points.sparkSession, []
-    centres = {r.cluster: list(r.c) for r in start.collect()}
-    if len(centres) > MOST_CENTROIDS:
+    names, centres = zip(*sorted((r.cluster, list(r.c)) for r in start.limit(MOST_CENTROIDS + 1).collect()))
+    if len(names) > MOST_CENTROIDS:
         raise ValueError(f"more than {MOST_CENTROIDS} centroids")
-    frame = start.select("cluster", "c")
+    held = points.select("id", "x").persist(StorageLevel.MEMORY_AND_DISK)
+    centres = np.array(centres, float)
     for _ in range(iterations):
-        assigned = assign(points, frame)
-        dims = assigned.select("cluster", "d2", F.posexplode("x").alias("k", "v"))
-        rows = dims.groupBy("cluster", "k").agg(F.avg("v").alias("m"), F.sum("d2").alias("e")).collect()
-        new: dict = {}
-        for r in rows:
-            new.setdefault(r.cluster, {})[r.k] = r.m
-        history.append(sum(r.e for r in rows if r.k == 0))
-        if len(new) < len(centres):
-            far = assigned.orderBy(F.desc("d2"), "id").select("x").first()
-            new |= {c: dict(enumerate(far.x)) for c in centres if c not in new}
-        moved = max(float(np.linalg.norm(np.array([new[c][i] for i in range(len(v))]) - np.array(v))) for c, v in centres.items())
-        centres = {c: [v[i] for i in range(len(v))] for c, v in new.items()}
-        frame = spark.createDataFrame(sorted(centres.items()), "cluster int, c array<double>")
+        sums, n, error, far = _lloyd_sums(held, centres)
+        history.append(error)
+        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], far)
+        moved = float(np.linalg.norm(new - centres, axis=1).max())
+        centres = new
         if tol is not None and moved < tol:
             break
+    frame = spark.createDataFrame([(c, v.tolist()) for c, v in zip(names, centres)], "cluster int, c array<double>")
+    held.unpersist()
     return assign(points, frame), frame, history
 
 
-def k_sweep(points: DataFrame, ks: list[int], seed: int = 42, iterations: int = 20) -> DataFrame:
-    """(k, sse, sse_per_point, smallest, largest) for each k."""
+def _lloyd_sums(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Sums and numbers of the points nearest to each centroid, the sum of squared distances and the farthest point."""
+    k, dim = centres.shape
+
+    def run(batches):
+        sums, n, error, far = np.zeros((k, dim)), np.zeros(k, np.int64), 0.0, (-1.0, None, None)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _rows(batch.column(1), dim)
+            d = distances2(x, centres)
+            label = d.argmin(1)
+            d = d[np.arange(len(x)), label]
+            one = np.zeros((k, len(x)))
+            one[label, np.arange(len(x))] = 1.0
+            sums += one @ x
+            n += np.bincount(label, minlength=k)
+            error += d.sum()
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            i = min(np.flatnonzero(d == d.max()), key=lambda i: ids[i])
+            far = max(far, (float(d[i]), ids[i], x[i].tolist()), key=lambda f: (f[0], f[1] is not None and -f[1]))
+        rows = [(c, *sums[c].tolist()) for c in np.flatnonzero(n)]
+        out = {"cluster": [r[0] for r in rows], "n": [int(n[r[0]]) for r in rows], "s": [list(r[1:]) for r in rows]}
+        out |= {"error": [error if i == 0 else 0.0 for i in range(len(rows))], "far": [far[0]] * len(rows), "id": [far[1]] * len(rows), "x": [far[2]] * len(rows)}
+        if rows:
+            kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+
+    parts = points.mapInArrow(run, "cluster int, n bigint, s array<double>, error double, far double, id bigint, x array<double>")
+    summed = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(dim)]
+    best = F.max(F.struct("far", (-F.col("id")).alias("id"), "x")).alias("best")
+    rows = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("error").alias("error"), best, *summed).collect()
+    sums, n = np.zeros((k, dim)), np.zeros(k, np.int64)
+    for r in rows:
+        n[r.cluster] = r.n
+        sums[r.cluster] = r[4:]
+    return sums, n, float(sum(r.error for r in rows)), np.array(max(r.best for r in rows).x)
+
+
+def _rows(lists: pa.Array, dim: int) -> np.ndarray:
+    """A list column without nulls as a matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def k_sweep(points: DataFrame, ks: list[int], seed: int = 42, iterations: int = 100) -> DataFrame:
+    """(k, iterations, sse, sse_per_point, smallest, largest, silhouette) for each k, run until it converges; silhouettes are over all points."""
     rows = []
     for k in ks:
-        assigned, _, _ = kmeans(points, plus_plus(points, k, seed), iterations=iterations)
+        assigned, _, history = kmeans(points, plus_plus(points, k, seed), iterations=iterations)
+        assigned = written(assigned, "assigned")
         s = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("d2").alias("e")).collect()
-        rows.append((k, float(sum(r.e for r in s)), float(sum(r.e for r in s) / sum(r.n for r in s)), min(r.n for r in s), max(r.n for r in s)))
-    return points.sparkSession.createDataFrame(rows, "k int, sse double, sse_per_point double, smallest bigint, largest bigint")
+        shape = silhouette(assigned).agg(F.avg("s")).first()[0]
+        remove(points.sparkSession, assigned)
+        e, n = float(sum(r.e for r in s)), sum(r.n for r in s)
+        rows.append((k, len(history), e, e / n, min(r.n for r in s), max(r.n for r in s), shape))
+    return points.sparkSession.createDataFrame(rows, "k int, iterations int, sse double, sse_per_point double, smallest bigint, largest bigint, silhouette double")
 
 
 def elbow(curve: DataFrame, x: str, y: str) -> DataFrame:
@@ -132,35 +178,84 @@ def elbow(curve: DataFrame, x: str, y: str) -> DataFrame:
     return p.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(last)).select(x, d.alias("distance")).orderBy(F.desc("distance"), x).limit(1)
 
 
+def _blocks(rows: DataFrame, dim: int, labels: bool) -> DataFrame:
+    """(b, ids, x, labels): rows (b, id, x[, cluster]) packed into one binary row for each b, which has a bounded number of rows."""
+
+    def run(batches):
+        held: list = []
+
+        def packed(part):
+            t = pa.Table.from_batches(part).combine_chunks().to_batches()[0] if len(part) > 1 else part[0]
+            label = t.column(3).to_numpy().astype(np.int64).tobytes() if labels else b""
+            parts = [t.column(0).slice(0, 1), *(pa.array([v], pa.binary()) for v in (t.column(1).to_numpy().astype(np.int64).tobytes(), _rows(t.column(2), dim).astype(float).tobytes(), label))]
+            return pa.RecordBatch.from_arrays(parts, names=["b", "ids", "x", "labels"])
+
+        for batch in batches:
+            b = batch.column(0).to_numpy() if batch.num_rows else np.empty(0)
+            cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))).tolist() + [len(b)] if len(b) else []
+            for a, e in zip(cuts[:-1], cuts[1:]):
+                if held and held[-1].column(0)[0].as_py() != b[a]:
+                    yield packed(held)
+                    held = []
+                held.append(batch.slice(a, e - a))
+        if held:
+            yield packed(held)
+
+    ordered = rows.repartition("b").sortWithinPartitions("b", "id")
+    return ordered.mapInArrow(run, "b bigint, ids binary, x binary, labels binary")
+
+
+def _dimension(points: DataFrame) -> int:
+    first = points.select(F.size("x")).first()
+    return first[0] if first else 1
+
+
 def blocked_pairs(points: DataFrame, reduce, schema: str, *, left: DataFrame | None = None, block: int = 1024) -> DataFrame:
-    """reduce(ids a, matrix a, ids b, matrix b) over all pairs of blocks of two frames, in tasks; memory is two blocks."""
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        extra = [c for c in df.columns if c not in ("id", "x")]
+    """reduce(ids a, matrix a, labels a, ids b, matrix b, labels b) over all pairs of blocks of two frames (id, x[, cluster]), in tasks; memory is two blocks."""
+    dim = _dimension(points)
+
+    def packed(df: DataFrame) -> tuple[DataFrame, int]:
         n = max(1, -(-df.count() // block))
-        rows = df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)))
-        return rows.groupBy("_b").agg(F.collect_list(F.struct("id", "x", *extra)).alias(name)).select(name, F.col("_b").alias(f"b_{name}"))
+        labels = "cluster" in df.columns
+        return _blocks(df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"), "id", "x", *(["cluster"] if labels else [])), dim, labels), n
+
+    (a, n), (b, m) = packed(points if left is None else left), packed(points)
+    pairs = a.toDF("ba", "ia", "xa", "la").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))).join(b, "b")
+    pairs = pairs.select("ba", "b", "ia", "xa", "la", "ids", "x", "labels").repartition(min(n * m, 32 * points.sparkSession.sparkContext.defaultParallelism), "ba", "b")
+    return _reduced(pairs.drop("ba", "b"), reduce, schema, dim)
 
-    pairs = packed(left if left is not None else points, "a").crossJoin(packed(points, "b"))
-    pairs = pairs.repartition(points.sparkSession.sparkContext.defaultParallelism * 2, "b_a", "b_b")
 
+def _reduced(pairs: DataFrame, reduce, schema: str, dim: int) -> DataFrame:
     def run(batches):
-        for b in batches:
-            for a_rows, b_rows in zip(b["a"], b["b"]):
-                out = reduce(pd.DataFrame([dict(r) if isinstance(r, dict) else r.asDict() for r in a_rows]), pd.DataFrame([dict(r) if isinstance(r, dict) else r.asDict() for r in b_rows]))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ia, xa, la, ib, xb, lb = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in enumerate((np.int64, float, np.int64) * 2))
+                out = reduce(ia, xa.reshape(-1, dim), la, ib, xb.reshape(-1, dim), lb)
                 if len(out):
                     yield out
 
-    return pairs.select("a", "b").mapInPandas(run, schema)
+    def frames(batches):
+        for out in run(batches):
+            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    return pairs.mapInArrow(frames, schema)
 
 
 def distances2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances by direct differences in slices, exact where points coincide."""
     out = np.empty((len(a), len(b)))
-    for i in range(0, len(a), 64):
-        out[i : i + 64] = ((a[i : i + 64, None, :] - b[None, :, :]) ** 2).sum(-1)
+    step = max(1, 2_000_000 // max(1, b.size))
+    for i in range(0, len(a), step):
+        out[i : i + step] = ((a[i : i + step, None, :] - b[None, :, :]) ** 2).sum(-1)
     return out
 
 
+def products2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by a matrix product; rounding may leave coinciding points a trace apart."""
+    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+    return np.maximum(d, 0.0, out=d)
+
+
 def silhouette(labelled: DataFrame, sample: DataFrame | None = None) -> DataFrame:
     """(id, cluster, s): silhouettes by Euclidean distance against all points that are no noise; a point alone in its cluster has 1; with fewer than two clusters there are none.
 
@@ -168,11 +263,14 @@ def silhouette(labelled: DataFrame, sample: DataFrame | None = None) -> DataFram
     """
     points = labelled.where("cluster >= 0").select("id", "x", "cluster")
 
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = np.sqrt(distances2(np.vstack(a["x"]), np.vstack(b["x"])))
-        label = b["cluster"].to_numpy()
-        parts = [pd.DataFrame({"id": a["id"], "cluster": a["cluster"], "other": c, "total": d[:, label == c].sum(1), "n": int((label == c).sum())}) for c in np.unique(label)]
-        return pd.concat(parts)
+    def sums(ids, x, own, _, y, label) -> pd.DataFrame:
+        d = np.sqrt(products2(x, y))
+        kinds, at = np.unique(label, return_inverse=True)
+        member = np.zeros((len(label), len(kinds)))
+        member[np.arange(len(label)), at] = 1.0
+        total, n = d @ member, member.sum(0).astype(np.int64)
+        k = len(kinds)
+        return pd.DataFrame({"id": np.repeat(ids, k), "cluster": np.repeat(own, k).astype(np.int32), "other": np.tile(kinds, len(ids)).astype(np.int32), "total": total.ravel(), "n": np.tile(n, len(ids))})
 
     left = points if sample is None else points.join(sample.select("id"), "id", "left_semi")
     per = blocked_pairs(points, sums, "id bigint, cluster int, other int, total double, n bigint", left=left).groupBy("id", "cluster", "other").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
@@ -198,27 +296,58 @@ def purity_nmi(df: DataFrame, cluster: str, truth: str) -> DataFrame:
 
 def k_distance(points: DataFrame, k: int) -> DataFrame:
     """(id, d): each point's distance to its k-th nearest other point, k cut to the number of others."""
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = distances2(np.vstack(a["x"]), np.vstack(b["x"]))
-        d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
+    def nearest(ids, x, _, others, y, __) -> pd.DataFrame:
+        d = products2(x, y)
+        d[ids[:, None] == others[None, :]] = np.inf
         m = min(k, d.shape[1])
-        best = np.partition(d, m - 1, axis=1)[:, :m]
-        ids = np.repeat(a["id"].to_numpy(), m)
-        keep = np.isfinite(best.ravel())
+        at = np.argpartition(d, m - 1, axis=1)[:, :m]
+        best = ((x[:, None, :] - y[at]) ** 2).sum(-1)  # exact for the ones that count
+        ids, keep = np.repeat(ids, m), np.isfinite(np.take_along_axis(d, at, 1)).ravel()
         return pd.DataFrame({"id": ids[keep], "d2": best.ravel()[keep]})
 
-    near = blocked_pairs(points, nearest, "id bigint, d2 double")
+    near = blocked_pairs(points.select("id", "x"), nearest, "id bigint, d2 double")
     place = F.row_number().over(Window.partitionBy("id").orderBy("d2"))
     return near.withColumn("p", place).where(F.col("p") <= k).groupBy("id").agg(F.sqrt(F.max("d2")).alias("d"))
 
 
-def eps_pairs(points: DataFrame, eps: float) -> DataFrame:
-    """(src, dst): all ordered pairs within eps of each other, each point with itself too."""
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        i, j = np.nonzero(distances2(np.vstack(a["x"]), np.vstack(b["x"])) <= eps * eps)
-        return pd.DataFrame({"src": a["id"].to_numpy()[i], "dst": b["id"].to_numpy()[j]})
+def eps_pairs(points: DataFrame, eps: float, *, block: int = 1024) -> DataFrame:
+    """(src, dst): all ordered pairs within eps of each other, each point with itself too.
 
-    return blocked_pairs(points, near, "src bigint, dst bigint")
+    Points are laid out on a grid of cells of width eps over their projections on two axes; projections shorten distances, so
+    only neighbouring cells can hold pairs. The axes are the main ones of a bounded sample, on which no result depends. Cells
+    are split into blocks by a hash, however many points they hold.
+    """
+    points = points.select("id", "x")
+    dim = _dimension(points)
+    sample = np.array([r.x for r in points.orderBy(F.xxhash64("id")).limit(1000).collect()], float).reshape(-1, dim)
+    axes = np.linalg.svd(sample - sample.mean(0), full_matrices=False)[2][:2] if len(sample) else np.eye(dim)[:2]
+    # a hair wider than eps, so that rounding of projections can't push a pair apart
+    width = eps * (1 + 1e-9) + 1e-12 if eps > 0 else 1e-9
+
+    def cell(axis: np.ndarray) -> Column:
+        terms = F.zip_with("x", F.array(*(F.lit(float(v)) for v in axis)), lambda x, v: x * v)
+        return F.floor(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / width)
+
+    cells = [cell(a).alias(f"g{i}") for i, a in enumerate(axes)] + [F.lit(0).cast("bigint").alias("g1")] * (len(axes) < 2)
+    rows = written(points.select("id", "x", *cells), "cells")
+    sizes = rows.groupBy("g0", "g1").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    parts = sizes.select("g0", "g1", "parts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    listed = written(parts.withColumn("b", F.monotonically_increasing_id()), "cell-blocks")
+    numbered = rows.join(sizes, ["g0", "g1"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts")).join(listed.drop("parts"), ["g0", "g1", "part"])
+    blocks = written(_blocks(numbered.select("b", "id", "x"), dim, False), "blocks")
+    near = listed.select(F.col("g0").alias("h0"), F.col("g1").alias("h1"), F.col("b").alias("bb"))
+    shift = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    moved = listed.select(F.col("b").alias("ba"), "g0", "g1", shift.alias("o")).select("ba", (F.col("g0") + F.col("o.i")).alias("h0"), (F.col("g1") + F.col("o.j")).alias("h1"))
+    pairs = moved.join(near, ["h0", "h1"]).select("ba", "bb")
+    both = pairs.join(blocks.toDF("ba", "ia", "xa", "la"), "ba").join(blocks.toDF("bb", "ib", "xb", "lb"), "bb")
+    both = both.repartition(32 * points.sparkSession.sparkContext.defaultParallelism, "ba", "bb").select("ia", "xa", "la", "ib", "xb", "lb")
+
+    def within(ids, x, _, others, y, __) -> pd.DataFrame:
+        i, j = np.nonzero(products2(x, y) <= eps * eps * (1 + 1e-9) + 1e-9)
+        exact = ((x[i] - y[j]) ** 2).sum(1) <= eps * eps
+        return pd.DataFrame({"src": ids[i[exact]], "dst": others[j[exact]]})
+
+    return _reduced(both, within, "src bigint, dst bigint", dim)
 
 
 def dbscan(points: DataFrame, eps: float, min_pts: int) -> DataFrame:

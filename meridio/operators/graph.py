@@ -1,6 +1,6 @@
 """Graph operators on edge frames (src, dst[, w]): ranking, distances, co-occurrence graphs, communities.
 
-Iterations keep ranks and edges as frames and write the ranks to the shared folder every few rounds, which cuts the lineage and
+Iterations keep ranks and edges as frames and write the ranks to the shared folder every round, which cuts the lineage and
 outlives lost executors; only convergence scalars reach the driver. Betweenness, Girvan-Newman and greedy merging are for
 graphs of a few hundred nodes by their cost, as everywhere; they run in tasks, not on the driver.
 """
@@ -8,16 +8,18 @@ graphs of a few hundred nodes by their cost, as everywhere; they run in tasks, n
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import written
+from ..sources.shared import remove, written
 from .relational import average_ranks
 
-CUT = 5  # rounds between two writes
+SMALL_NODES = 100_000  # nodes up to which their scores are broadcast: about 4 MB as a hash relation
 
 
 def symmetrised(edges: DataFrame) -> DataFrame:
@@ -69,54 +71,83 @@ def bipartite_edges(rows: DataFrame, user: str, item: str, offset: int) -> DataF
     return symmetrised(rows.select(F.col(user).cast("bigint").alias("src"), (F.col(item) + offset).cast("bigint").alias("dst")))
 
 
+def _sides(edges: DataFrame, nodes: int) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The edges laid out by source and by target, and how a frame of node scores joins them.
+
+    Scores of few nodes are broadcast and the edges stay where they are. Beyond that the edges are partitioned once by either end
+    and kept, on disk where memory doesn't suffice, so that a round shuffles scores only.
+    """
+    if nodes <= SMALL_NODES:
+        return edges, edges, F.broadcast
+    by_src, by_dst = (edges.repartition(c).persist(StorageLevel.MEMORY_AND_DISK) for c in ("src", "dst"))
+    return by_src, by_dst, lambda scores: scores
+
+
+def _round(state: DataFrame, name: str, old: DataFrame | None, **sums) -> tuple[DataFrame, dict]:
+    """The state of a round as a table, and sums over it that are taken while it is written; the table before it is removed."""
+    seen = Observation()
+    out = written(state.observe(seen, *(c.alias(k) for k, c in sums.items())), name)
+    if old is not None:
+        remove(state.sparkSession, old)
+    return out, seen.get
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, *, beta: float = 0.85, iterations: int = 100, eps: float | None = 1e-6) -> DataFrame:
     """(id, rank) by power iteration with uniform teleport; the mass of nodes without out-edges goes to all nodes.
 
     Ends when the L1 change is below eps, or after `iterations`; eps None runs them all. Multi-edges count as often as they occur.
-    Nodes default to the edges' ends.
+    Nodes default to the edges' ends. A round is one job: it writes the ranks and takes the sums that the next one needs.
     """
+    spark = edges.sparkSession
+    edges = written(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")), "pagerank-edges")
     nodes = (edges.select("src").union(edges.select("dst")).distinct() if nodes is None else nodes.select("id")).toDF("id")
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    weighted = written(edges.join(out, "src").select("src", "dst", (1.0 / F.col("deg")).alias("w")).repartition("src"), "pagerank-edges")
-    n = nodes.count()
+    out = edges.groupBy("src").agg(F.sum("k").alias("deg"))
+    base = written(nodes.join(out, nodes.id == out.src, "left").select("id", "deg"), "pagerank-nodes")
+    n, sinks = base.agg(F.count(F.lit(1)), F.count_if(F.col("deg").isNull())).first()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    base = written(nodes.join(out, nodes.id == out.src, "left").select("id", F.col("deg").isNull().alias("dangling")), "pagerank-nodes")
-    r = base.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
-    for k in range(1, iterations + 1):
-        gain = weighted.join(r.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("gain"))
-        lost = r.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        new = beta * (F.coalesce("gain", F.lit(0.0)) + F.col("lost") / n) + (1 - beta) / n
-        nxt = r.join(gain, r.id == gain.dst, "left").crossJoin(F.broadcast(lost)).select("id", "dangling", new.alias("rank"), F.col("rank").alias("before"))
-        if k % CUT == 0 or k == iterations:
-            nxt = written(nxt, "pagerank")
-            if eps is not None and nxt.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < eps:
-                r = nxt
-                break
-        r = nxt.drop("before")
+    by_src, _, beside = _sides(edges, n)
+    r, lost, old = base.select("id", "deg", F.lit(1.0 / n).alias("rank")), sinks / n, None
+    for _ in range(iterations):
+        given = r.where("deg is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("deg")).alias("share"))
+        gain = by_src.join(beside(given), "src").groupBy("dst").agg(F.sum(F.col("share") * F.col("k")).alias("gain"))
+        new = beta * (F.coalesce("gain", F.lit(0.0)) + lost / n) + (1 - beta) / n
+        nxt = r.join(gain, r.id == gain.dst, "left").select("id", "deg", new.alias("rank"), F.col("rank").alias("before"))
+        nxt, sums = _round(nxt, "pagerank", old, lost=F.coalesce(F.sum(F.when(F.col("deg").isNull(), F.col("rank"))), F.lit(0.0)), moved=F.sum(F.abs(F.col("rank") - F.col("before"))))
+        r, old, lost = nxt.drop("before"), nxt, sums["lost"]
+        if eps is not None and sums["moved"] < eps:
+            break
+    by_src.unpersist()
+    remove(spark, base, *([edges] if n <= SMALL_NODES else []))
     return r.select("id", "rank")
 
 
 def hits(edges: DataFrame, *, iterations: int = 200, eps: float | None = 1e-8) -> DataFrame:
-    """(id, hub, auth): authorities from hubs, then hubs from the new authorities, each scaled to length 1."""
-    nodes = edges.select("src").union(edges.select("dst")).distinct().toDF("id")
-    state = written(nodes.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("auth")), "hits")
-
-    def scaled(sums: DataFrame, name: str) -> DataFrame:
-        norm = sums.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-        return sums.crossJoin(F.broadcast(norm)).select("id", (F.col("v") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias(name))
-
-    for k in range(1, iterations + 1):
-        auth = scaled(edges.join(state.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("v")), "auth")
-        hub = scaled(edges.join(auth.select(F.col("id").alias("dst"), "auth"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("auth").alias("v")), "hub")
-        old = state.select("id", F.col("hub").alias("h0"), F.col("auth").alias("a0"))
-        state = old.join(hub, "id", "left").join(auth, "id", "left").na.fill(0.0)
-        if k % 2 == 0 or k == iterations:
-            state = written(state, "hits")
-            if eps is not None and state.agg(F.sum(F.abs(F.col("hub") - F.col("h0")) + F.abs(F.col("auth") - F.col("a0")))).first()[0] < eps:
+    """(id, hub, auth): authorities from hubs, then hubs from the new authorities, each scaled to length 1.
+
+    A round is one job, which writes unscaled sums and their squared lengths; scaling is by numbers in the next round.
+    """
+    edges = written(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")), "hits-edges")
+    nodes = written(edges.select("src").union(edges.select("dst")).distinct().toDF("id"), "hits-nodes")
+    by_src, by_dst, beside = _sides(edges, nodes.count())
+    state, old, scale = nodes.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("auth")), None, (1.0, 1.0)
+    for _ in range(iterations):
+        h = state.select(F.col("id").alias("src"), (F.col("hub") / scale[0]).alias("x")).where("x <> 0")
+        auth = by_src.join(beside(h), "src").groupBy("dst").agg(F.sum(F.col("x") * F.col("k")).alias("v"))
+        hub = by_dst.join(beside(auth.select("dst", F.col("v").alias("y"))), "dst").groupBy("src").agg(F.sum(F.col("y") * F.col("k")).alias("w"))
+        before = state.select("id", (F.col("hub") / scale[0]).alias("h0"), (F.col("auth") / scale[1]).alias("a0"))
+        nxt = before.join(hub, before.id == hub.src, "left").join(auth, before.id == auth.dst, "left")
+        nxt = nxt.select("id", F.coalesce("w", F.lit(0.0)).alias("hub"), F.coalesce("v", F.lit(0.0)).alias("auth"), "h0", "a0")
+        nxt, sums = _round(nxt, "hits", old, h2=F.sum(F.col("hub") * F.col("hub")), a2=F.sum(F.col("auth") * F.col("auth")))
+        state, old = nxt.select("id", "hub", "auth"), nxt
+        scale = tuple((sums[k] or 0.0) ** 0.5 or 1.0 for k in ("h2", "a2"))
+        if eps is not None:
+            moved = nxt.agg(F.sum(F.abs(F.col("hub") / scale[0] - F.col("h0")) + F.abs(F.col("auth") / scale[1] - F.col("a0")))).first()[0]
+            if moved is None or moved < eps:
                 break
-        state = state.select("id", "hub", "auth")
-    return state.select("id", "hub", "auth")
+    by_src.unpersist()
+    by_dst.unpersist()
+    return state.select("id", (F.col("hub") / scale[0]).alias("hub"), (F.col("auth") / scale[1]).alias("auth"))
 
 
 def top_nodes(scores: DataFrame, score: str, k: int, id_col: str = "id") -> DataFrame:
@@ -146,7 +177,8 @@ def cooccurrence_graph(
     a, b = kept.select(user, F.col(item).alias("src")), kept.select(user, F.col(item).alias("dst"))
     pairs = a.join(b, user).where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"))
     for x in ("src", "dst"):
-        pairs = pairs.join(F.broadcast(nodes.select(F.col(item).alias(x), F.col("n").alias(f"n_{x}"))), x)
+        names = nodes.select(F.col(item).alias(x), F.col("n").alias(f"n_{x}"))
+        pairs = pairs.join(F.broadcast(names) if top_n <= 100_000 else names, x)
     pairs = pairs.select("src", "dst", "shared", (F.col("shared") / (F.col("n_src") + F.col("n_dst") - F.col("shared"))).alias("jaccard"))
     if target_degree is not None:
         size = nodes.agg(F.ceil(F.count(F.lit(1)) * target_degree / 2).alias("most"))

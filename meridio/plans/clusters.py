@@ -14,7 +14,7 @@ from .bindings import t
 from .registry import query
 
 PTS = "pts AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings)"
-SMALL = "small AS (SELECT vec_id AS id, list_transform(embedding[1:6], lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)"
+EPS = 1.16  # embeddings are unit vectors: chords of some 70 degrees
 START = "c0 AS (SELECT CAST(label AS INTEGER) AS cluster, x AS c FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM pts) WHERE k = 1)"
 D2 = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
@@ -23,10 +23,6 @@ def points(spark, d):
     return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label")
 
 
-def small(spark, d):
-    return points(spark, d).select("id", F.slice("x", 1, 6).alias("x"))
-
-
 def start(spark, d):
     first = points(spark, d).groupBy("label").agg(F.min_by("x", "id").alias("c"))
     return first.select(F.col("label").cast("int").alias("cluster"), "c")
@@ -79,16 +75,16 @@ def kmeans_plus_plus(spark, d):
 @query("kmeans_init_stability")
 def kmeans_init_stability(spark, d):
     p, rows = written(points(spark, d).drop("label"), "points"), []
-    for seed in (1, 2, 3):
+    for seed in range(1, 11):
         first = p.orderBy(F.xxhash64("id", F.lit(seed))).limit(6).withColumn("cluster", (F.row_number().over(Window.orderBy("id")) - 1).cast("int")).select("cluster", F.col("x").alias("c"))
         for name, init in (("plus_plus", c.plus_plus(p, 6, seed)), ("random", first)):
-            rows.append((name, seed, c.kmeans(p, init, iterations=10)[2][-1]))
+            rows.append((name, seed, c.kmeans(p, init)[2][-1]))
     return spark.createDataFrame(rows, "init string, seed int, sse double").groupBy("init").agg(F.avg("sse").alias("mean_sse"), F.stddev("sse").alias("dev_sse"), F.min("sse").alias("best_sse"))
 
 
 @query("kmeans_k_sweep")
 def kmeans_k_sweep(spark, d):
-    return c.k_sweep(written(points(spark, d).drop("label"), "points"), [2, 4, 6], iterations=6)
+    return c.k_sweep(written(points(spark, d).drop("label"), "points"), list(range(2, 11)))
 
 
 _CURVE = "curve AS (SELECT CAST(day(ts) AS INTEGER) AS k, sum(value) AS sse FROM events GROUP BY 1)"
@@ -142,25 +138,25 @@ def label_alignment(spark, d):
     return spark.createDataFrame([(k, v, share) for k, v in names.items()], "cluster int, truth int, agreement double")
 
 
-@query("k_distance", f"WITH {SMALL}, p AS (SELECT a.id, {D2.format('a.x', 'b.x')} AS d2 FROM small a JOIN small b ON a.id <> b.id) SELECT id, round(sqrt(d2), 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2) AS k FROM p) WHERE k = 4")
+@query("k_distance", f"WITH {PTS}, p AS (SELECT a.id, {D2.format('a.x', 'b.x')} AS d2 FROM pts a JOIN pts b ON a.id <> b.id) SELECT id, round(sqrt(d2), 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2) AS k FROM p) WHERE k = 4")
 def k_distance(spark, d):
-    return c.k_distance(small(spark, d), 4).withColumn("d", r6(F.col("d")))
+    return c.k_distance(points(spark, d), 4).withColumn("d", r6(F.col("d")))
 
 
-_EPS = f"{SMALL}, near AS MATERIALIZED (SELECT a.id AS src, b.id AS dst FROM small a, small b WHERE {D2.format('a.x', 'b.x')} <= 0.15 * 0.15), core AS MATERIALIZED (SELECT src AS id FROM near GROUP BY src HAVING count(*) >= 4)"
+_EPS = f"{PTS}, near AS MATERIALIZED (SELECT a.id AS src, b.id AS dst FROM pts a, pts b WHERE {D2.format('a.x', 'b.x')} <= {EPS} * {EPS}), core AS MATERIALIZED (SELECT src AS id FROM near GROUP BY src HAVING count(*) >= 4)"
 
 
-@query("dbscan_core_noise", f"WITH {_EPS} SELECT id, id IN (SELECT id FROM core) AS is_core, id NOT IN (SELECT src FROM near WHERE dst IN (SELECT id FROM core)) AS is_noise FROM small")
+@query("dbscan_core_noise", f"WITH {_EPS} SELECT id, id IN (SELECT id FROM core) AS is_core, id NOT IN (SELECT src FROM near WHERE dst IN (SELECT id FROM core)) AS is_noise FROM pts")
 def dbscan_core_noise(spark, d):
-    return c.dbscan(small(spark, d), 0.15, 4).select("id", "is_core", (F.col("cluster") < 0).alias("is_noise"))
+    return c.dbscan(points(spark, d), EPS, 4).select("id", "is_core", (F.col("cluster") < 0).alias("is_noise"))
 
 
 @query("dbscan_labels", f"""WITH RECURSIVE {_EPS}, link AS (SELECT src, dst FROM near WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)), reach(a, b) AS (SELECT id, id FROM core UNION SELECT a, dst FROM reach JOIN link ON b = src),
   comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a), num AS (SELECT id, dense_rank() OVER (ORDER BY component) - 1 AS cluster FROM comp),
   edge AS (SELECT src AS id, min(cluster) AS cluster FROM near JOIN num ON num.id = dst GROUP BY src)
-  SELECT small.id, CAST(coalesce(num.cluster, edge.cluster, -1) AS INTEGER) AS cluster FROM small LEFT JOIN num USING (id) LEFT JOIN edge USING (id)""")
+  SELECT pts.id, CAST(coalesce(num.cluster, edge.cluster, -1) AS INTEGER) AS cluster FROM pts LEFT JOIN num USING (id) LEFT JOIN edge USING (id)""")
 def dbscan_labels(spark, d):
-    return c.dbscan(small(spark, d), 0.15, 4).select("id", "cluster")
+    return c.dbscan(points(spark, d), EPS, 4).select("id", "cluster")
 
 
 _SUMS = f"{PTS}, sums AS (SELECT label AS cluster, k, count(*) AS n, sum(v) AS s, sum(v * v) AS ss, greatest(sum(v * v) / count(*) - pow(sum(v) / count(*), 2), 1e-6) AS var FROM (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS k FROM pts) GROUP BY label, k)"

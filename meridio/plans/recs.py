@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import r6
 from ..operators import recommend as rec
 from ..operators import text
+from ..sources.shared import written
 from .bindings import INTER, SUPP, interactions, suppliers, t
 from .registry import query
 
@@ -63,13 +64,15 @@ def vectors(spark, d):
 
 
 def scored(spark, d, future="test"):
-    s = split(spark, d)
-    cands = rec.candidates(s["train"], s[future], suppliers(spark, d))
-    return rec.content_scores(rec.cf_scores(cands, s["train"], near(s["train"])), s["train"], vectors(spark, d))
+    """Candidates with their scores; interactions, neighbours and candidates enter several steps, so they are written once."""
+    s = rec.split_by_year(written(interactions(spark, d), "interactions"), 1999, 2000)
+    cands = written(rec.candidates(s["train"], s[future], suppliers(spark, d)), "candidates")
+    nb = written(near(s["train"]), "neighbours")
+    return written(rec.content_scores(rec.cf_scores(cands, s["train"], nb), s["train"], vectors(spark, d)), "scored")
 
 
 def lists(spark, d, alpha=0.5):
-    return rec.ranked(rec.blend(scored(spark, d), alpha))
+    return written(rec.ranked(rec.blend(scored(spark, d), alpha)), "lists")
 
 
 @query("temporal_split_counts", f"WITH {SPLIT} SELECT 'train' AS part, count(*) AS n, count(DISTINCT u) AS users, count(DISTINCT i) AS items FROM tr UNION ALL SELECT 'validation', count(*), count(DISTINCT u), count(DISTINCT i) FROM va UNION ALL SELECT 'test', count(*), count(DISTINCT u), count(DISTINCT i) FROM te")
@@ -155,9 +158,7 @@ _GRID = "\nUNION ALL ".join(f"SELECT {a}::DOUBLE AS alpha, ndcg FROM (WITH {list
 
 @query("hybrid_alpha_grid", f"WITH {SPLIT}, {SUPP}, {SIM}, {cands_sql('va')}, {VEC}, {SCORED} {_GRID}")
 def hybrid_alpha_grid(spark, d):
-    from ..sources.shared import written
-
-    rows, out = written(scored(spark, d, "validation"), "scored"), None
+    rows, out = scored(spark, d, "validation"), None
     for a in (0.0, 0.25, 0.5, 0.75, 1.0):
         part = rec.ranking_metrics(rec.ranked(rec.blend(rows, a))).agg(r6(F.avg("ndcg")).alias("ndcg")).select(F.lit(a).alias("alpha"), "ndcg")
         out = part if out is None else out.unionAll(part)
