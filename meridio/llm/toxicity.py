@@ -16,6 +16,7 @@ Texts are searched once for core words by an Aho-Corasick automaton; only clause
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import cache
 
 import pyarrow as pa
@@ -228,27 +229,38 @@ def learn_lexicon(
     """
     given = labels.select(F.col(id_col).alias("of"), F.col(label_col).alias("toxic")).where("of is not null and toxic is not null")
     given = given.groupBy("of").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    rows = rows.join(sized(given), F.col("doc") == F.col("of")).select("lang", "text", "toxic")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.where(F.length("text") > 0).join(sized(given), F.col("doc") == F.col("of")).select("row", "lang", "text", "toxic")
+    # one row of each content, so that counts can be added up where the texts are and only words with their numbers are shuffled
+    leads = rows.groupBy("lang", "toxic", F.xxhash64("text").alias("h"), F.length("text").alias("size")).agg(F.min("row").alias("row"))
+    rows = rows.join(sized(written(leads.select("row"), "labelled")), "row", "left_semi")
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
 
-    def distinct(only: set[str] | None):
+    def numbers(only: set[str] | None):
+        """(lang, word, n) of each task's documents, n documents having the word; the word "" counts them all."""
+
         def run(batches):
+            found: Counter = Counter()
+
+            def flush():
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found]), pa.array([k[1] for k in found]), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+                    found.clear()
+
             for batch in batches:
-                out: list[list] = [[], [], []]
-                for lang, text, key in zip(*(c.to_pylist() for c in batch.columns)):
+                for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                     own = _distinct_words(text)
-                    own = own if only is None else own & only
-                    out[0] += [lang] * (len(own) + 1)
-                    out[1] += ["", *own]
-                    out[2] += [key] * (len(own) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["lang", "word", "key"])
+                    found.update((lang, w) for w in (own if only is None else own & only))
+                    found[lang, ""] += 1
+                    if len(found) > 500_000:
+                        yield from flush()
+            yield from flush()
 
         return run
 
     def counted(part: DataFrame, only: set[str] | None) -> DataFrame:
-        pairs = part.select("lang", "text", F.xxhash64("text")).mapInArrow(distinct(only), "lang string, word string, key bigint")
-        return pairs.distinct().groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+        pairs = part.select("lang", "text").mapInArrow(numbers(only), "lang string, word string, n bigint")
+        return pairs.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     seen = written(counted(toxic, None), "toxic-words")
     all_docs = seen.where("word = ''").select("lang", F.col("n").alias("all"))  # a row a language
