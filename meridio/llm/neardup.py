@@ -2,9 +2,10 @@
 
 1. One pass hashes each text's words, takes the set of adjacent word pairs as shingles and computes its MinHash signature and
    the hashes of its bands. It is written once; texts with the same words share one node from here on.
-2. Nodes that share a band form a bucket. Every node of a bucket is paired with the bucket's smallest node, its hub, so a group
-   of thousands gives about as many pairs as it has nodes. Signatures are compared batch by batch; after each batch a pair is
-   dropped once the posterior probability that its similarity reaches the threshold falls below the miss probability.
+2. Nodes that share a band form a bucket. A task pairs the nodes of each bucket that it holds with their smallest one, the hub,
+   and only hubs are shuffled, whose smallest is paired with the others; so a group of thousands gives as many pairs as it has
+   nodes, and no bucket is gathered. Signatures are compared batch by batch; after each batch a pair is dropped once the
+   posterior probability that its similarity reaches the threshold falls below the miss probability.
 3. Survivors are verified exactly on their shingle sets: first one near-certain pair a node, then those of the others whose ends
    the verified pairs don't connect already.
 4. Buckets whose members aren't all connected by verified pairs are looked at again: all pairs between members of different
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ._shared import free_name, remove, sized, written
-from ._text import chunks, code_points, mix, spans, word_hashes
+from ._text import R, chunks, code_points, mix, spans, word_hashes
 
 BANDS, ROWS, STEP = 40, 4, 32  # a pair at similarity 0.6 shares a band with probability 0.996
 HASHES = BANDS * ROWS
@@ -106,7 +107,7 @@ def _features(batches, at: int, names: list[str]):
     for batch in batches:
         texts = [t or "" for t in batch.column(at).to_pylist()]
         m = len(texts)
-        node, bands, sig = np.zeros(m, np.int64), np.zeros((m, BANDS), np.int64), np.zeros((m, HASHES), np.uint16)
+        node, sig = np.zeros(m, np.int64), np.zeros((m, HASHES), np.uint16)
         known = np.zeros(m, bool)
         for i, j in chunks([len(t) for t in texts], PIECE):
             h, n = words(texts[i:j])
@@ -115,21 +116,58 @@ def _features(batches, at: int, names: list[str]):
             has = i + np.flatnonzero(n > 0)
             known[has] = True
             node[has] = content_hash(h, n)
-            s = signatures(*shingles(h, n))
-            sig[has] = s.astype(np.uint16)
-            acc = np.zeros((len(s), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-            for r in range(ROWS):
-                acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + s[:, r::ROWS])
-            bands[has] = acc.view(np.int64)
+            sig[has] = signatures(*shingles(h, n)).astype(np.uint16)
         rows = np.flatnonzero(known)
         width = HASHES * 2
         offsets = np.zeros(m + 1, np.int32)
         offsets[1:] = np.cumsum(known * width)
         binary = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(offsets), pa.py_buffer(sig[rows].tobytes())])
-        offsets = np.zeros(m + 1, np.int32)
-        offsets[1:] = np.cumsum(known * BANDS)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[rows].ravel()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, mask=~known), binary, lists], names=names)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, mask=~known), binary], names=names)
+
+
+def band_hashes(sig: np.ndarray) -> np.ndarray:
+    """The hash of each band of each signature, a row each; bands have their own hashes."""
+    acc = np.zeros((len(sig), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        acc = mix(acc * R + sig[:, r::ROWS])
+    return acc.view(np.int64)
+
+
+def _stars(band: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries sorted by band and node: which are the first of their band, and the place of each entry's first."""
+    first = np.concatenate(([True], band[1:] != band[:-1])) if len(band) else np.empty(0, bool)
+    return first, np.flatnonzero(first)[np.cumsum(first) - 1] if len(band) else np.empty(0, np.int64)
+
+
+def _local_stars(batches):
+    """Of each task's nodes: (band, hub, n) for members behind the hub, and (band, hub, null) for hubs."""
+    names = ["band", "a", "b"]
+    for batch in batches:
+        for i in range(0, batch.num_rows, 16_384):
+            part = batch.slice(i, 16_384)
+            band = band_hashes(_matrix(part.column(1))).ravel()
+            n = np.repeat(part.column(0).to_numpy(), BANDS)
+            by = np.lexsort((n, band))
+            band, n = band[by], n[by]
+            first, at = _stars(band, n)
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(n[at]), pa.array(n, mask=first)], names=names)
+
+
+def _hub_stars(batches):
+    """Of hubs sorted by band and node: (band, hub, other hub)."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        band, n = (batch.column(i).to_numpy() for i in (0, 1))
+        if held is not None:
+            band, n = np.concatenate((held[0], band)), np.concatenate((held[1], n))
+        first, at = _stars(band, n)
+        last = at[-1]
+        held = band[last : last + 1].copy(), n[last : last + 1].copy()
+        rest = ~first & (n != n[at])
+        if rest.any():
+            yield pa.RecordBatch.from_arrays([pa.array(band[rest]), pa.array(n[at][rest]), pa.array(n[rest])], names=["band", "a", "b"])
 
 
 @cache
@@ -201,7 +239,7 @@ def _screened(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(agree >= sure)], names=["a", "b", "sure"])
 
     hubs = sigs.join(sized(pairs.select(F.col("a").alias("n")).distinct()), "n", "left_semi").select(F.col("n").alias("a"), F.col("sig").alias("sa"))
-    rows = pairs.join(sigs.select(F.col("n").alias("b"), F.col("sig").alias("sb")), "b").join(sized(hubs, limit=20_000), "a")
+    rows = pairs.join(sigs.select(F.col("n").alias("b"), F.col("sig").alias("sb")), "b").join(sized(hubs, limit=5_000), "a")
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, sure boolean")
 
 
@@ -230,8 +268,13 @@ def _across(threshold: float, miss: float):
     return run
 
 
-def _mixed_pairs(own: DataFrame, nodes: DataFrame, label: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """(a, b): pairs that share a band, are in different components and survive; own has (n, band) of the shared bands."""
+def _mixed_pairs(buckets: DataFrame, nodes: DataFrame, label: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """(a, b): pairs that share a band, are in different components and survive; buckets has (band, a, b), hubs and members."""
+    a, b = (label.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    labelled = buckets.join(sized(a), "a", "left").join(sized(b), "b", "left")
+    split = labelled.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("band").distinct()
+    own = buckets.join(sized(written(split, "split")), "band", "left_semi")
+    own = own.select("band", F.explode(F.array("a", "b")).alias("n")).distinct()
     rows = own.join(sized(label), own.n == F.col("id"), "left").select("band", "n", F.coalesce("component", "n").alias("comp"))
     sizes = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
     # of two members the one pair is the hub's, which has been looked at
@@ -243,7 +286,8 @@ def _mixed_pairs(own: DataFrame, nodes: DataFrame, label: DataFrame, threshold:
     rows = rows.withColumn("block", F.when(minor, F.pmod(h, "few")).otherwise(F.col("few") + F.pmod(h, "many")))
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(minor, F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1))))
     rows = rows.select("band", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "n", "comp", "block")
-    rows = rows.join(nodes.select("n", "sig"), "n").select("band", "i", "j", "n", "comp", "block", "sig")
+    sigs = nodes.select("n", "sig").join(sized(written(own.select("n").distinct(), "mixed-nodes")), "n", "left_semi")
+    rows = rows.join(sigs, "n").select("band", "i", "j", "n", "comp", "block", "sig")
     rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "n")
     return rows.mapInArrow(_across(threshold, miss), "a bigint, b bigint").distinct()
 
@@ -258,7 +302,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, feat: DataFrame, row: str, text
     none = F.lit(None).cast("bigint")
     hubs = texts.join(sized(parts), F.col("n") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), none.alias("b"), "t")
     spokes = pairs.select("a", "b").join(sized(parts), "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
-    rows = hubs.unionAll(spokes.join(texts.withColumnRenamed("n", "b"), "b").select("a", "part", "b", "t"))
+    rows = hubs.unionAll(texts.withColumnRenamed("n", "b").join(sized(spokes), "b").select("a", "part", "b", "t"))
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
@@ -298,18 +342,19 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def classes(feat: DataFrame, row: str, node: str, sig: str, bands: str, text: str, threshold: float, miss: float) -> tuple[DataFrame, DataFrame]:
-    """The nodes (n, r, sig, bands), r being a row of each, and (id, component) of those that are linked to another."""
+def classes(feat: DataFrame, row: str, node: str, sig: str, text: str, threshold: float, miss: float) -> tuple[DataFrame, DataFrame]:
+    """The nodes (n, r, sig), r being a row of each, and (id, component) of those that are linked to another."""
     spark = feat.sparkSession
-    nodes = feat.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("n")).agg(F.min(row).alias("r"), F.first(sig).alias("sig"), F.first(bands).alias("bands"))
+    nodes = feat.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("n")).agg(F.min(row).alias("r"), F.first(sig).alias("sig"))
     nodes = written(nodes, "nodes")
-    own = nodes.select("n", F.explode("bands").alias("band"))
-    shared = written(own.groupBy("band").agg(F.min("n").alias("hub"), F.max("n").alias("hi")).where("hub < hi").select("band", "hub"), "bands")
-    own = written(own.join(sized(shared), "band"), "buckets")
-    star = own.where("n <> hub").groupBy(F.col("hub").alias("a"), F.col("n").alias("b")).agg(F.count(F.lit(1))).select("a", "b")
+    stars = nodes.select("n", "sig").mapInArrow(_local_stars, "band bigint, a bigint, b bigint")
+    # a band has at most as many hubs as there are tasks and batches
+    hubs = stars.where("b is null").select("band", "a").repartition("band").sortWithinPartitions("band", "a")
+    buckets = written(hubs.mapInArrow(_hub_stars, "band bigint, a bigint, b bigint").unionAll(stars.where("b is not null")), "buckets")
+    star = buckets.groupBy("a", "b").agg(F.count(F.lit(1))).select("a", "b")
     star = written(_screened(written(star, "stars"), nodes.select("n", "sig"), threshold, miss), "screened")
-    one = star.where("sure").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    sure = written(verified(written(one, "chosen"), nodes, feat, row, text, threshold), "verified")
+    one = written(star.where("sure").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "chosen")
+    sure = written(verified(one, nodes, feat, row, text, threshold), "verified")
     label = written(connected_components(sure, "a", "b"), "labels")
     rest = written(_apart(star.join(one, ["a", "b"], "left_anti"), label), "rest")
     edges = [sure]
@@ -317,7 +362,7 @@ def classes(feat: DataFrame, row: str, node: str, sig: str, bands: str, text: st
         edges.append(written(verified(rest, nodes, feat, row, text, threshold), "verified"))
         if not edges[-1].isEmpty():
             label = written(connected_components(edges[0].unionAll(edges[1]), "a", "b"), "labels")
-    more = _mixed_pairs(own.select("n", "band"), nodes, label, threshold, miss).join(star.select("a", "b"), ["a", "b"], "left_anti")
+    more = _mixed_pairs(buckets, nodes, label, threshold, miss).join(star.select("a", "b"), ["a", "b"], "left_anti")
     more = written(more, "mixed-pairs")
     if not more.isEmpty():
         edges.append(written(verified(more, nodes, feat, row, text, threshold), "verified"))
@@ -326,18 +371,18 @@ def classes(feat: DataFrame, row: str, node: str, sig: str, bands: str, text: st
             for x in edges[1:]:
                 links = links.unionAll(x)
             label = written(connected_components(links, "a", "b"), "labels")
-    remove(spark, shared, own, star, rest, more, *edges)
+    remove(spark, buckets, star, one, rest, more, *edges)
     return nodes, label
 
 
 def _assigned(docs: DataFrame, id_col: str, text_col: str, threshold: float, miss: float):
     """The written features and nodes, the labels, and (row, id, n, group) of each row; group is null where a text has no words."""
-    row, node, sig, bands = (free_name(docs, x) for x in ("row", "node", "sig", "bands"))
+    row, node, sig = (free_name(docs, x) for x in ("row", "node", "sig"))
     start = docs.withColumn(row, F.monotonically_increasing_id())
-    schema = T.StructType([*start.schema.fields, T.StructField(node, T.LongType()), T.StructField(sig, T.BinaryType()), T.StructField(bands, T.ArrayType(T.LongType()))])
+    schema = T.StructType([*start.schema.fields, T.StructField(node, T.LongType()), T.StructField(sig, T.BinaryType())])
     at = docs.columns.index(text_col)
     feat = written(start.mapInArrow(lambda b: _features(b, at, schema.names), schema), "features")
-    nodes, label = classes(feat, row, node, sig, bands, text_col, threshold, miss)
+    nodes, label = classes(feat, row, node, sig, text_col, threshold, miss)
     rows = feat.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(node).alias("n"))
     rows = rows.join(sized(label.select(F.col("id").alias("n"), "component")), "n", "left")
     return feat, row, nodes, label, rows.select("row", "id", "n", F.coalesce("component", "n").alias("group"))
@@ -400,11 +445,11 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.6, miss: flo
     feat, row, nodes, label, rows = _assigned(docs.select(id_col, text_col), id_col, text_col, threshold, miss)
     size = label.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     members = label.join(sized(size), "component").select("component", F.col("id").alias("n"), F.pmod(F.xxhash64("id"), "parts").alias("block"), "parts")
-    members = members.withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    members = members.join(_texts(label.select(F.col("id").alias("n")), nodes, feat, row, text_col), "n")
+    texts = _texts(label.select(F.col("id").alias("n")), nodes, feat, row, text_col)
+    members = texts.join(sized(written(members, "members")), "n").withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     members = members.select("component", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "n", "block", "t")
     members = members.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "n")
-    links = members.mapInArrow(_links(threshold), "n bigint, links bigint").groupBy("n").agg(F.sum("links").alias("links"))
+    links = written(members.mapInArrow(_links(threshold), "n bigint, links bigint").groupBy("n").agg(F.sum("links").alias("links")), "links")
     best = F.min(F.struct(F.col("id").isNull(), "id"))
     groups = rows.where("group is not null").groupBy("group").agg(best.alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("group", "x.id", "k")
     found = rows.select("id", "n", "group").join(sized(groups.select("group", F.col("id").alias("class_id"))), "group").join(sized(links), "n", "left")
