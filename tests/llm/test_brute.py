@@ -190,22 +190,66 @@ def test_toxic_clauses():
     assert score("What a lovely morning for you.") == 0
 
 
-@pytest.fixture(scope="module")
-def judged(spark, docs):
-    """The labelled toxic and clean documents, each with whether the operator returns it; the lexicon has seen the same labels."""
-    labels = table(spark, SF, "labels")
-    got = {r.doc_id for r in toxicity.toxicity(docs, lexicon=toxicity.learn_lexicon(docs, labels), carry=["doc_id"]).collect()}
-    mark = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
-    return [i in got for i, x in mark.items() if x], [i in got for i, x in mark.items() if not x]
-
-
-@pytest.mark.xfail(reason="known shortfall: 7 of 11 labelled toxic documents are found (34 of 51 at sf0.01); see README", strict=False)
-def test_toxicity_recall_on_labels(judged):
-    assert sum(judged[0]) >= 0.8 * len(judged[0])
-
+def test_the_composed_machine_equals_its_parts_and_their_definitions():
+    """Every clause of up to three words, and many longer ones: the cascade run letter by letter, and scopes looked up directly."""
+    import itertools
+    import random
 
-def test_toxicity_leaves_clean_labels_alone(judged):
-    assert sum(judged[1]) <= 0.05 * len(judged[1])
+    t = toxicity
+    letters = [t.OTHER, t.INSULT, t.MILD, t.STRONGER, t.TARGET, t.SELF, t.WILL, t.ACT, t.NOT, t.SAY]
+    machine, r = t.grammar(), random.Random(4)
+
+    def composed(clause):
+        state, total = machine.start, 0.0
+        for x in clause:
+            _, state, w = machine.step(state, x)
+            total += w
+        return total
+
+    def one_after_another(clause):
+        total, tape = 0.0, list(clause)
+        for part in t.cascade():
+            state, out = part.start, []
+            for x in tape:
+                y, state, w = part.step(state, x)
+                out.append(y)
+                total += w
+            tape = out
+        return total
+
+    def in_scope(clause, i, trigger, reach, passing=()):
+        near = [j for j in range(i) if clause[j] == trigger]
+        return bool(near) and sum(x not in passing for x in clause[near[-1] + 1 : i]) < reach
+
+    def insults(clause):
+        total = 0.0
+        for i, x in enumerate(clause):
+            if x in t.WEIGHTS:
+                w = t.WEIGHTS[x] * (t.INTENSE if in_scope(clause, i, t.STRONGER, 2) else 1.0) * (t.AIMED if in_scope(clause, i, t.TARGET, 5, (t.STRONGER,)) else 1.0)
+                total += w * (t.NEGATED if in_scope(clause, i, t.NOT, 4, (t.STRONGER,)) else 1.0) * (t.REPORTED if in_scope(clause, i, t.SAY, 12) else 1.0)
+        return total
+
+    clauses = [c for n in range(4) for c in itertools.product(letters, repeat=n)] + [[r.choice(letters) for _ in range(r.randrange(4, 30))] for _ in range(3000)]
+    for clause in clauses:
+        assert composed(clause) == pytest.approx(one_after_another(clause))
+        if not {t.SELF, t.WILL, t.ACT} <= set(clause):  # no threat
+            assert composed(clause) == pytest.approx(insults(clause)), clause
+    assert composed([t.SELF, t.OTHER, t.WILL, t.ACT, t.OTHER, t.TARGET]) == t.THREAT
+    assert composed([t.SELF, t.WILL, t.NOT, t.ACT, t.TARGET]) == 0 == composed([t.WILL, t.SELF, t.ACT, t.TARGET])
+    assert composed([t.SAY, t.SELF, t.WILL, t.ACT, t.TARGET]) == t.THREAT * t.REPORTED
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """The lexicon learns from the labels of odd identifiers and is held against those of even ones."""
+    at = "/root/testdata/sf0.1"
+    docs, labels = table(spark, at, "documents"), table(spark, at, "labels").where("toxic is not null")
+    lexicon = toxicity.learn_lexicon(docs, labels.where("doc_id % 2 = 1"))
+    held = docs.join(labels.where("doc_id % 2 = 0").select("doc_id", F.col("toxic").alias("mark")), "doc_id")
+    found = {r.doc_id for r in toxicity.toxicity(held, lexicon=lexicon, carry=["doc_id"]).collect()}
+    marks = {r.doc_id: r.mark for r in held.select("doc_id", "mark").collect()}
+    toxic, clean = [i for i, x in marks.items() if x], [i for i, x in marks.items() if not x]
+    assert len(toxic) > 150 and sum(i in found for i in toxic) >= 0.8 * len(toxic)
+    assert sum(i in found for i in clean) <= 0.01 * len(clean)
 
 
 def test_secrets_by_ownership(spark):
