@@ -64,87 +64,129 @@ def sse(assigned: DataFrame) -> DataFrame:
     return assigned.where("cluster >= 0").agg(F.sum("d2").alias("sse"))
 
 
-def plus_plus(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(cluster, c): K-Means++ starting centroids; each draw takes the point with the largest u^(1/d2) weight of a hash of its id (an exponential race), so no prefix sums are needed."""
-    spark = points.sparkSession
-    chosen: list[list[float]] = []
+def plus_plus_many(points: DataFrame, k: int, seeds: list[int]) -> dict[int, np.ndarray]:
+    """K-Means++ starting centroids for each seed, a pass over the points for each of the k draws.
+
+    Each draw takes the point with the smallest -ln(u) / d2, u being a hash of its id and the draw (an exponential race), so no
+    prefix sums are needed; without distances left there are fewer than k centroids. A task sends one point a seed.
+    """
+    chosen: dict[int, list] = {s: [] for s in seeds}
     for j in range(k):
-        u = (F.pmod(F.xxhash64(F.col("id"), F.lit(seed + j)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-        if chosen:
-            near = F.least(*[squared_distance(F.col("x"), F.array(*(F.lit(v) for v in c))) for c in chosen]) if len(chosen) > 1 else squared_distance(F.col("x"), F.array(*(F.lit(v) for v in chosen[0])))
-            race = F.when(near > 0, -F.ln(u) / near)
-        else:
-            race = -F.ln(u)
-        row = points.select("x", "id", race.alias("race")).orderBy(F.asc_nulls_last("race"), "id").limit(1).collect()
-        if not row:
+        have = {s: np.array(c, float) for s, c in chosen.items() if len(c) == j}
+        if not have:
             break
-        chosen.append(list(row[0].x))
-    return spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "cluster int, c array<double>")
+        u = [((F.pmod(F.xxhash64(F.col("id"), F.lit(s + j)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)).alias(f"u{i}") for i, s in enumerate(have)]
+        best = points.select("id", "x", *u).mapInArrow(_race(list(have.values())), "seed int, race double, id bigint, x array<double>")
+        for r in best.groupBy("seed").agg(F.min(F.struct("race", "id", "x")).alias("b")).collect():
+            chosen[list(have)[r.seed]].append(list(r.b.x))
+    return {s: np.array(c, float) for s, c in chosen.items()}
 
 
-def kmeans(points: DataFrame, start: DataFrame, *, iterations: int = 100, tol: float | None = 1e-4) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(assigned points, centroids, history of the sum of squared errors) by Lloyd's algorithm from the given centroids.
+def _race(centres: list[np.ndarray]):
+    def run(batches):
+        best: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists, ids = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for s, c in enumerate(centres):
+                near = distances2(x, c).min(1) if len(c) else np.ones(len(x))
+                with np.errstate(divide="ignore"):
+                    race = np.where(near > 0, -np.log(batch.column(2 + s).to_numpy()) / near, np.inf)
+                i = np.lexsort((ids, race))[0]
+                if np.isfinite(race[i]):
+                    best[s] = min(best.get(s, (np.inf,)), (float(race[i]), int(ids[i]), x[i].tolist()))
+        if best:
+            columns = [pa.array(v, t) for v, t in zip(zip(*((s, *b) for s, b in best.items())), (pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["seed", "race", "id", "x"])
+
+    return run
+
+
+def plus_plus(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """(cluster, c): K-Means++ starting centroids, as plus_plus_many draws them."""
+    return _frame(points.sparkSession, plus_plus_many(points, k, [seed])[seed])
 
-    Ends when no centroid moves by tol or more (never, if tol is None). An empty cluster takes the farthest point of that
-    round, the same for all empty ones. A round is one pass in which tasks add up their points by cluster; centroids are k rows,
-    so they alone come to the driver.
+
+def _frame(spark, centres: np.ndarray, names=None) -> DataFrame:
+    names = range(len(centres)) if names is None else names
+    return spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(names, centres)], "cluster int, c array<double>")
+
+
+def lloyd(points: DataFrame, starts: list[np.ndarray], *, iterations: int = 100, tol: float | None = 1e-4) -> list[tuple[np.ndarray, list[float]]]:
+    """Centroids and the history of the sum of squared errors for each start; all that haven't converged share each pass over the points.
+
+    A run ends when no centroid moves by tol or more (never, if tol is None). An empty cluster takes the farthest point of that
+    round, the same for all empty ones. In a pass tasks add up their points by cluster; centroids are a few rows a start, so they
+    alone come to the driver.
     """
-    spark, history = points.sparkSession, []
-    names, centres = zip(*sorted((r.cluster, list(r.c)) for r in start.limit(MOST_CENTROIDS + 1).collect()))
-    if len(names) > MOST_CENTROIDS:
+    if sum(map(len, starts)) > MOST_CENTROIDS:
         raise ValueError(f"more than {MOST_CENTROIDS} centroids")
     held = points.select("id", "x").persist(StorageLevel.MEMORY_AND_DISK)
-    centres = np.array(centres, float)
+    centres, history, going = [np.array(s, float) for s in starts], [[] for _ in starts], list(range(len(starts)))
     for _ in range(iterations):
-        sums, n, error, far = _lloyd_sums(held, centres)
-        history.append(error)
-        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], far)
-        moved = float(np.linalg.norm(new - centres, axis=1).max())
-        centres = new
-        if tol is not None and moved < tol:
+        after = []
+        for i, (sums, n, error, far) in zip(going, _lloyd_sums(held, [centres[i] for i in going])):
+            history[i].append(error)
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], far)
+            moved = float(np.linalg.norm(new - centres[i], axis=1).max())
+            centres[i] = new
+            if tol is None or moved >= tol:
+                after.append(i)
+        going = after
+        if not going:
             break
-    frame = spark.createDataFrame([(c, v.tolist()) for c, v in zip(names, centres)], "cluster int, c array<double>")
     held.unpersist()
+    return list(zip(centres, history))
+
+
+def kmeans(points: DataFrame, start: DataFrame, *, iterations: int = 100, tol: float | None = 1e-4) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(assigned points, centroids, history of the sum of squared errors) by Lloyd's algorithm from the given centroids, as lloyd runs it."""
+    names, first = zip(*sorted((r.cluster, list(r.c)) for r in start.limit(MOST_CENTROIDS + 1).collect()))
+    (centres, history), = lloyd(points, [np.array(first, float)], iterations=iterations, tol=tol)
+    frame = _frame(points.sparkSession, centres, names)
     return assign(points, frame), frame, history
 
 
-def _lloyd_sums(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """Sums and numbers of the points nearest to each centroid, the sum of squared distances and the farthest point."""
-    k, dim = centres.shape
+def _lloyd_sums(points: DataFrame, sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float, np.ndarray]]:
+    """For each set of centroids the sums and numbers of the points nearest to each, the sum of squared distances and the farthest point."""
+    dim = sets[0].shape[1]
 
     def run(batches):
-        sums, n, error, far = np.zeros((k, dim)), np.zeros(k, np.int64), 0.0, (-1.0, None, None)
+        state = [[np.zeros((len(c), dim)), np.zeros(len(c), np.int64), 0.0, (-1.0, 0, [])] for c in sets]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _rows(batch.column(1), dim)
-            d = distances2(x, centres)
-            label = d.argmin(1)
-            d = d[np.arange(len(x)), label]
-            one = np.zeros((k, len(x)))
-            one[label, np.arange(len(x))] = 1.0
-            sums += one @ x
-            n += np.bincount(label, minlength=k)
-            error += d.sum()
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            i = min(np.flatnonzero(d == d.max()), key=lambda i: ids[i])
-            far = max(far, (float(d[i]), ids[i], x[i].tolist()), key=lambda f: (f[0], f[1] is not None and -f[1]))
-        rows = [(c, *sums[c].tolist()) for c in np.flatnonzero(n)]
-        out = {"cluster": [r[0] for r in rows], "n": [int(n[r[0]]) for r in rows], "s": [list(r[1:]) for r in rows]}
-        out |= {"error": [error if i == 0 else 0.0 for i in range(len(rows))], "far": [far[0]] * len(rows), "id": [far[1]] * len(rows), "x": [far[2]] * len(rows)}
+            x, ids = _rows(batch.column(1), dim), batch.column(0).to_numpy(zero_copy_only=False)
+            for own, centres in zip(state, sets):
+                d = distances2(x, centres)
+                label = d.argmin(1)
+                d = d[np.arange(len(x)), label]
+                one = np.zeros((len(centres), len(x)))
+                one[label, np.arange(len(x))] = 1.0
+                own[0] += one @ x
+                own[1] += np.bincount(label, minlength=len(centres))
+                own[2] += d.sum()
+                i = min(np.flatnonzero(d == d.max()), key=lambda i: ids[i])
+                own[3] = max(own[3], (float(d[i]), -int(ids[i]), x[i].tolist()))
+        rows = [(k, int(c), int(n[c]), s[c].tolist(), error if c == np.flatnonzero(n)[0] else 0.0, *far) for k, (s, n, error, far) in enumerate(state) for c in np.flatnonzero(n)]
         if rows:
-            kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=["k", "cluster", "n", "s", "error", "far", "id", "x"])
 
-    parts = points.mapInArrow(run, "cluster int, n bigint, s array<double>, error double, far double, id bigint, x array<double>")
+    parts = points.mapInArrow(run, "k int, cluster int, n bigint, s array<double>, error double, far double, id bigint, x array<double>")
     summed = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(dim)]
-    best = F.max(F.struct("far", (-F.col("id")).alias("id"), "x")).alias("best")
-    rows = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("error").alias("error"), best, *summed).collect()
-    sums, n = np.zeros((k, dim)), np.zeros(k, np.int64)
-    for r in rows:
-        n[r.cluster] = r.n
-        sums[r.cluster] = r[4:]
-    return sums, n, float(sum(r.error for r in rows)), np.array(max(r.best for r in rows).x)
+    rows = parts.groupBy("k", "cluster").agg(F.sum("n").alias("n"), F.sum("error").alias("error"), F.max(F.struct("far", "id", "x")).alias("best"), *summed).collect()
+    out = []
+    for k, centres in enumerate(sets):
+        own = [r for r in rows if r.k == k]
+        sums, n = np.zeros((len(centres), dim)), np.zeros(len(centres), np.int64)
+        for r in own:
+            n[r.cluster] = r.n
+            sums[r.cluster] = r[5:]
+        out.append((sums, n, float(sum(r.error for r in own)), np.array(max(r.best for r in own).x)))
+    return out
 
 
 def _rows(lists: pa.Array, dim: int) -> np.ndarray:
@@ -153,17 +195,20 @@ def _rows(lists: pa.Array, dim: int) -> np.ndarray:
 
 
 def k_sweep(points: DataFrame, ks: list[int], seed: int = 42, iterations: int = 100) -> DataFrame:
-    """(k, iterations, sse, sse_per_point, smallest, largest, silhouette) for each k, run until it converges; silhouettes are over all points."""
-    rows = []
-    for k in ks:
-        assigned, _, history = kmeans(points, plus_plus(points, k, seed), iterations=iterations)
-        assigned = written(assigned, "assigned")
+    """(k, iterations, sse, sse_per_point, smallest, largest, silhouette) for each k, run until it converges; silhouettes are over all points.
+
+    The first draws of K-Means++ are the same for every k, and all k share each pass.
+    """
+    spark, rows = points.sparkSession, []
+    first = plus_plus_many(points, max(ks), [seed])[seed]
+    for k, (centres, history) in zip(ks, lloyd(points, [first[:k] for k in ks], iterations=iterations)):
+        assigned = written(assign(points, _frame(spark, centres)), "assigned")
         s = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("d2").alias("e")).collect()
         shape = silhouette(assigned).agg(F.avg("s")).first()[0]
-        remove(points.sparkSession, assigned)
+        remove(spark, assigned)
         e, n = float(sum(r.e for r in s)), sum(r.n for r in s)
         rows.append((k, len(history), e, e / n, min(r.n for r in s), max(r.n for r in s), shape))
-    return points.sparkSession.createDataFrame(rows, "k int, iterations int, sse double, sse_per_point double, smallest bigint, largest bigint, silhouette double")
+    return spark.createDataFrame(rows, "k int, iterations int, sse double, sse_per_point double, smallest bigint, largest bigint, silhouette double")
 
 
 def elbow(curve: DataFrame, x: str, y: str) -> DataFrame:

@@ -74,11 +74,11 @@ def kmeans_plus_plus(spark, d):
 
 @query("kmeans_init_stability")
 def kmeans_init_stability(spark, d):
-    p, rows = written(points(spark, d).drop("label"), "points"), []
-    for seed in range(1, 11):
-        first = p.orderBy(F.xxhash64("id", F.lit(seed))).limit(6).withColumn("cluster", (F.row_number().over(Window.orderBy("id")) - 1).cast("int")).select("cluster", F.col("x").alias("c"))
-        for name, init in (("plus_plus", c.plus_plus(p, 6, seed)), ("random", first)):
-            rows.append((name, seed, c.kmeans(p, init)[2][-1]))
+    p, seeds = written(points(spark, d).drop("label"), "points"), list(range(1, 11))
+    draws = p.select("x", *(F.xxhash64("id", F.lit(s)).alias(f"h{s}") for s in seeds))
+    random = [np.array([r.x for r in draws.orderBy(f"h{s}").select("x").limit(6).collect()]) for s in seeds]
+    runs = c.lloyd(p, [*c.plus_plus_many(p, 6, seeds).values(), *random])
+    rows = [(name, s, history[-1]) for (name, s), (_, history) in zip([(n, s) for n in ("plus_plus", "random") for s in seeds], runs)]
     return spark.createDataFrame(rows, "init string, seed int, sse double").groupBy("init").agg(F.avg("sse").alias("mean_sse"), F.stddev("sse").alias("dev_sse"), F.min("sse").alias("best_sse"))
 
 

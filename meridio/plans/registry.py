@@ -30,5 +30,5 @@ def _load() -> None:
 
 
 #: The modules whose queries are registered when this one is imported.
-MODULES = ["core", "graphs", "clusters", "recs", "texts", "streams", "audits"]
+MODULES = ["core", "files", "graphs", "clusters", "recs", "texts", "streams", "audits"]
 _load()
