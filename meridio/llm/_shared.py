@@ -10,8 +10,9 @@ from ..sources.shared import new_path, remove, shared_dir, written
 
 __all__ = ["BROADCAST_ROWS", "free_name", "local_path", "new_path", "qualified", "remove", "shared_dir", "sized", "table", "written"]
 
-#: Rows of a key-only side up to which it is broadcast (a few 8-byte keys: about 4 MB as a hash relation); above it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Rows of a key-only side up to which it is broadcast (one or two 8-byte numbers: about 40 MB as a hash relation), as the other side
+#: mostly has texts; above it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -228,11 +228,11 @@ def learn_lexicon(
     """
     given = labels.select(F.col(id_col).alias("of"), F.col(label_col).alias("toxic")).where("of is not null and toxic is not null")
     given = given.groupBy("of").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.where(F.length("text") > 0).join(sized(given), F.col("doc") == F.col("of")).select("row", "lang", "text", "toxic")
-    # one row of each content, so that counts can be added up where the texts are and only words with their numbers are shuffled
-    leads = rows.groupBy("lang", "toxic", F.xxhash64("text").alias("h"), F.length("text").alias("size")).agg(F.min("row").alias("row"))
-    rows = rows.join(sized(written(leads.select("row"), "labelled")), "row", "left_semi")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    # one row of each content, found by hashes alone; so counts can be added up where the texts are and only words with their numbers are shuffled
+    light = rows.select("row", "doc", "lang", F.xxhash64("text").alias("h"), F.length("text").alias("size")).join(sized(given), F.col("doc") == F.col("of"))
+    leads = written(light.groupBy("lang", "toxic", "h", "size").agg(F.min("row").alias("lead")).select("lead", "toxic"), "labelled")
+    rows = rows.join(sized(leads), F.col("row") == F.col("lead")).select("lang", "text", "toxic")
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
 
     def numbers(only: set[str] | None):
