@@ -457,7 +457,12 @@ class _Sum:
 
 
 def _lloyd(x: np.ndarray, k: int, rounds: int = 60) -> np.ndarray:
-    c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
+    rng, c = np.random.default_rng(42), x[:1]
+    while len(c) < min(k, len(x)):  # K-Means++ draws; fewer centroids where points coincide
+        near = distances2(x, c).min(1)
+        if not near.sum():
+            break
+        c = np.vstack((c, x[rng.choice(len(x), p=near / near.sum())]))
     label = np.zeros(len(x), int)
     for _ in range(rounds):
         new = distances2(x, c).argmin(1)
