@@ -27,7 +27,7 @@ def covariance(points: DataFrame) -> DataFrame:
             yield pd.DataFrame({"i": i, "j": j, "g": gram[i, j], "n": n})
 
     parts = centred.mapInPandas(products, "i int, j int, g double, n bigint")  # d squared numbers a task
-    return parts.groupBy("i", "j").agg((F.sum("g") / (F.sum("n") - 1)).alias("cov"))
+    return parts.groupBy("i", "j").agg(F.try_divide(F.sum("g"), F.sum("n") - 1).alias("cov"))  # null for a single row
 
 
 class Pca:
