@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .relational import percent_ranks
+from .relational import percent_ranks, running_sums
 
 NO_DATA = "no data"
 
 
 def _ranked(df: DataFrame, x: str) -> DataFrame:
-    """(x, k, i): distinct finite values with their count and the number of values up to and including them."""
+    """(x, k, i, c): distinct finite values with their count, and the number and the sum of values up to and including them."""
     v = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("k"))
     v = v.withColumn("x", F.when(F.col("x") >= 0, F.col("x")).otherwise(F.raise_error(F.lit("values must not be negative")).cast("double")))
-    return v.withColumn("i", F.sum("k").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    return running_sums(v, "x", {"i": F.col("k"), "c": F.col("k") * F.col("x")})
 
 
 def gini(df: DataFrame, x: str) -> DataFrame:
@@ -31,29 +31,29 @@ def gini(df: DataFrame, x: str) -> DataFrame:
 
 def gini_trapezoid(df: DataFrame, x: str) -> DataFrame:
     """(gini): 1 - 2 * area under the cumulative shares by the trapezoid rule over the n points, with spacing 1 / n."""
-    w = Window.orderBy("x", "_t")
-    rows = df.select(F.col(x).cast("double").alias("x"), F.monotonically_increasing_id().alias("_t"))
-    c = rows.select(F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"), F.sum("x").over(Window.partitionBy()).alias("t"))
-    ends = F.when((F.col("i") == 1) | (F.col("i") == F.col("n")), 0.5).otherwise(1.0)
-    return c.agg((1 - 2 * F.sum(ends * F.col("c") / F.col("t")) / F.max("n")).alias("gini"))
+    r = _ranked(df, x)
+    k, t = F.col("k"), F.max("c")
+    area = F.sum(k * (F.col("c") - k * F.col("x")) + F.col("x") * k * (k + 1) / 2)  # cumulative sums of equal values, added up
+    ends = F.when(F.sum("k") > 1, (F.min("x") + t) / 2).otherwise(t / 2)
+    return r.agg((1 - 2 * F.try_divide(area - ends, t) / F.sum("k")).alias("gini"))
 
 
 def lorenz(df: DataFrame, x: str) -> DataFrame:
     """(population, share): a point for each distinct value, from the smallest."""
     r = _ranked(df, x)
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return r.select((F.col("i") / F.sum("k").over(every)).alias("population"), F.try_divide(F.sum(F.col("k") * F.col("x")).over(w), F.sum(F.col("k") * F.col("x")).over(every)).alias("share"))
+    total = r.agg(F.max("i").alias("n"), F.max("c").alias("t"))
+    return r.crossJoin(F.broadcast(total)).select((F.col("i") / F.col("n")).alias("population"), F.try_divide("c", "t").alias("share"))
 
 
 def top_share(df: DataFrame, x: str, fraction: float) -> DataFrame:
     """(k, share): what the max(1, ceil(n * fraction)) largest values hold; null for no values or a total of 0."""
     r = _ranked(df, x)
-    every = Window.partitionBy()
-    k = F.greatest(F.lit(1), F.ceil(F.sum("k").over(every) * fraction))
-    above = F.sum("k").over(every) - F.col("i")  # how many values are larger
+    total = r.agg(F.max("i").alias("n"))
+    k = F.greatest(F.lit(1), F.ceil(F.col("n") * fraction))
+    above = F.col("n") - F.col("i")  # how many values are larger
     taken = F.greatest(F.lit(0), F.least(F.col("k"), k - above))
-    return r.select(k.alias("top"), (taken * F.col("x")).alias("part"), (F.col("k") * F.col("x")).alias("all")).agg(F.max("top").alias("k"), F.sum("part").alias("p"), F.sum("all").alias("a")).select("k", F.when(F.col("a") > 0, F.col("p") / F.col("a")).alias("share"))
+    rows = r.crossJoin(F.broadcast(total)).select(k.alias("top"), (taken * F.col("x")).alias("part"), (F.col("k") * F.col("x")).alias("all"))
+    return rows.agg(F.max("top").alias("k"), F.sum("part").alias("p"), F.sum("all").alias("a")).select("k", F.when(F.col("a") > 0, F.col("p") / F.col("a")).alias("share"))
 
 
 def concentration(slots: DataFrame, item: str, top: int = 10) -> DataFrame:

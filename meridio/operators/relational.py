@@ -79,10 +79,32 @@ def percent_ranks(df: DataFrame, column: str, out: str, keys: list[str] | None =
     return average_ranks(df, column, "_rank", keys).withColumn(out, F.col("_rank") / F.col("_all")).drop("_rank", "_all")
 
 
+def running_sums(df: DataFrame, order: str, sums: dict[str, Column]) -> DataFrame:
+    """df with prefix sums up to and including each row in the order of a column of distinct values, without bringing rows to one task.
+
+    A range partitioning puts the rows in order; the partitions' sums, a few numbers each, give what comes before each partition.
+    """
+    part = "running_part"
+    rows = df.withColumns({f"of_{k}": c for k, c in sums.items()}).repartitionByRange(F.col(order)).withColumn(part, F.spark_partition_id())
+    rows = written(rows, "running")  # the partitions' numbers must not change between the two uses
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    totals = rows.groupBy(part).agg(*(F.sum(f"of_{k}").alias(f"all_{k}") for k in sums))
+    totals = totals.select(part, *(F.coalesce(F.sum(f"all_{k}").over(before), F.lit(0)).alias(f"before_{k}") for k in sums))
+    within = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({k: F.sum(f"of_{k}").over(within) for k in sums}).join(F.broadcast(totals), part)
+    return out.select(*(c for c in df.columns if c not in sums), *((F.col(k) + F.col(f"before_{k}")).alias(k) for k in sums))
+
+
 def ccdf(df: DataFrame, column: str) -> DataFrame:
-    """(value, ccdf): the empirical complementary distribution, a point a row."""
-    w = Window.orderBy(column)
-    return df.select(column, (1 - (F.row_number().over(w) - 1) / F.count(F.lit(1)).over(Window.partitionBy())).alias("ccdf"))
+    """(value, ccdf): the empirical complementary distribution, a point a row.
+
+    Only distinct values are put in order; the points of equal values are counted out from their number.
+    """
+    k = df.groupBy(column).agg(F.count(F.lit(1)).alias("k"))
+    ranked = running_sums(k, column, {"i": F.col("k")})
+    total = k.agg(F.sum("k").alias("all"))
+    place = F.explode(F.sequence(F.col("i") - F.col("k"), F.col("i") - 1)).alias("place")
+    return ranked.crossJoin(F.broadcast(total)).select(column, "all", place).select(column, (1 - F.col("place") / F.col("all")).alias("ccdf"))
 
 
 def new_from_cumulative(df: DataFrame, keys: list[str], order: str, total: str, out: str) -> DataFrame:
