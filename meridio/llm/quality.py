@@ -1,14 +1,14 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, thresholded on perplexity.
 
-The model is over words, unfolded as they stand between white space, with all bigrams and words of all trusted text; its tables
-grow with that text. What it leaves to words never seen is spread by their spelling, under a Kneser-Ney model of characters
+The model is over words, unfolded as they stand between white space, with all words of all trusted text; its table grows with
+that text. What it leaves to words never seen is spread by their spelling, under a Kneser-Ney model of characters
 folded to 64 symbols (letters, one class for capitals, one for digits, punctuation, one symbol for a word that repeats the one
 before it), whose n-grams of order five pack into 30 bits; that table alone is bounded by the alphabet. Tasks count locally, one
 shuffle adds the counts. Continuation counts, discounts and interpolation weights are aggregates over the sharded tables.
 
-To score, each task gathers the distinct words and bigrams of a file split; they are shuffled to the shards of the word model,
+To score, each task gathers the distinct words of a file split; they are shuffled to the shards of the word model,
 joined there, and what was found goes to the shared folder, where the task that scores the split reads its own part. Characters'
-shards are read whole. Neither the corpus nor its n-grams pass through the driver or a broadcast.
+shards are read whole. Neither the corpus nor its words pass through the driver or a broadcast.
 """
 
 from __future__ import annotations
@@ -33,10 +33,9 @@ PAD, SPACE, UPPER, DIGIT, REPEAT = 0, 1, 28, 29, 38
 PIECE = 750_000  # characters handled at once in a task; a longer text is counted and scored in pieces of this size
 #: Each language has a model for either half of the texts, trained on the trusted rows of the other half. Copies share a half.
 HALVES = 2
-#: Words and bigrams are known by hashes of so many bits; the model has a shard for every SHARD_ROWS of them.
+#: Words are known by hashes of so many bits; the model has a shard for every SHARD_ROWS of them.
 KEY_BITS, SHARD_ROWS = 56, 200_000
-TURN = 23  # a bigram's key is that of its first word XOR that of its second one turned by so many bits
-FIRST, AGAIN = np.uint64(0x51F15EED), np.uint64(0xA6A12EA7)  # stand for the word before the first one, and for a repeated word
+AGAIN = np.uint64(0xA6A12EA7)  # stands for a repeated word
 
 
 def _symbols() -> np.ndarray:
@@ -75,10 +74,11 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _encode(texts)[:2]
 
 
-def _encode(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """What encode gives; the first symbol of each word, the one past it and its separator; a hash of the two; the word's text number.
+def _read(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Symbols and lengths of all texts on end; starts and ends of words, whether each repeats the one before, a hash of it and its separator, its text.
 
-    Words are told apart by the white space that ends them too, so that the probability of a word covers its separator.
+    Words are told apart by the white space that ends them too, so that the probability of a word covers its separator. A word
+    that is followed by its own repetition has none.
     """
     if not _LUT:
         _LUT.append(_symbols())
@@ -88,38 +88,42 @@ def _encode(texts: list[str]) -> tuple[np.ndarray, ...]:
     starts, ends = spans(sym > SPACE, begin[n > 0])
     h = word_hashes(flat, starts, ends)
     doc = np.searchsorted(begin + n, starts, "right")
-    if len(starts) > 1:
-        again = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1])) + 1
-        if len(again):
-            sym = sym.copy()
-            s, e = starts[again], ends[again]
-            sym[s] = REPEAT
-            step = np.zeros(len(sym) + 2, np.int8)  # the space before the word goes too
-            np.add.at(step, ends[again - 1], 1)
-            np.add.at(step, s, -1)
-            np.add.at(step, s + 1, 1)
-            np.add.at(step, e, -1)
-            step = step[:-1]
-            keep = np.cumsum(step[:-1], dtype=np.int8) == 0
-            total = np.concatenate(([0], np.cumsum(keep, dtype=np.int64)))
-            n = total[begin + n] - total[begin]
-            sym = sym[keep]
-            begin = np.cumsum(n) - n
-            starts, ends = total[starts], total[ends]
-            h = h.copy()
-            h[again] = AGAIN
-    inside = ends < (begin + n)[doc]
+    again = np.zeros(len(starts), bool)
+    again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
     after = np.full(len(ends), 2, np.uint8)
+    inside = ends < (begin + n)[doc]
+    inside[:-1] &= ~again[1:]
     after[inside] = np.minimum(sym[ends[inside]], 2)
+    return sym, n, starts, ends, again, after, mix(np.where(again, AGAIN, h) + R * (after + np.uint64(1))), doc
+
+
+def _encode(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """What encode gives; the first symbol of each word, the one past it and its separator; a hash of the two; the word's text number."""
+    sym, n, starts, ends, again, after, h, doc = _read(texts)
+    begin = np.cumsum(n) - n
+    if again.any():
+        sym = sym.copy()
+        s, e = starts[again], ends[again]
+        sym[s] = REPEAT
+        step = np.zeros(len(sym) + 2, np.int8)  # the space before the word goes too
+        np.add.at(step, ends[:-1][again[1:]], 1)
+        np.add.at(step, s, -1)
+        np.add.at(step, s + 1, 1)
+        np.add.at(step, e, -1)
+        keep = np.cumsum(step[:-2], dtype=np.int8) == 0
+        total = np.concatenate(([0], np.cumsum(keep, dtype=np.int64)))
+        n = total[begin + n] - total[begin]
+        sym, begin = sym[keep], np.cumsum(n) - n
+        starts, ends = total[starts], total[ends]
     ends = ends + (after <= SPACE)
     width = ORDER - 1
-    padded = np.zeros(len(sym) + width * len(n), np.int64)
+    padded = np.zeros(len(sym) + width * len(n), np.int32)
     at = np.arange(len(sym)) + np.repeat(width * np.arange(1, len(n) + 1), n)
     padded[at] = sym
     code = padded[at]
     for k in range(1, ORDER):
         code |= padded[at - k] << (BITS * k)
-    return code, n, starts, ends, mix(h + R * (after + np.uint64(1))), doc
+    return code.astype(np.int64), n, starts, ends, h, doc
 
 
 def _salt(lang: str) -> np.uint64:
@@ -131,39 +135,31 @@ def _root(lang: str) -> int:
     return int(mix(np.array([_salt(lang)]) + R)[0] >> np.uint64(64 - KEY_BITS))
 
 
-def _word_keys(h: np.ndarray, doc: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of each bigram, of its second word and of its first one."""
-    cut = np.uint64(64 - KEY_BITS)
-    before = np.concatenate(([FIRST], h[:-1]))[: len(h)]
-    before[np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))[: len(h)])] = FIRST
-    own, prior = (mix(x ^ salt) >> cut for x in (h, before))
-    pair = prior ^ (own >> np.uint64(TURN) | (own << np.uint64(KEY_BITS - TURN)) & np.uint64((1 << KEY_BITS) - 1))
-    return pair.astype(np.int64), own.astype(np.int64), prior.astype(np.int64)
-
-
 def _pieces(texts: list[str]):
-    """(index of text, piece of it), no piece longer than PIECE."""
+    """(index of text, piece of it), no piece longer than PIECE; words aren't cut if there is white space in reach."""
     for i, t in enumerate(texts):
-        if len(t) <= PIECE:
-            yield i, t
-        else:
-            for k in range(0, len(t), PIECE):
-                yield i, t[k : k + PIECE]
+        a = 0
+        while len(t) - a > PIECE:
+            e = a + PIECE
+            e = next((j + 1 for j in range(e - 1, e - 10_000, -1) if t[j].isspace()), e)
+            yield i, t[a:e]
+            a = e
+        yield i, t[a:] if a else t
 
 
-def _batches(lang: list, text: list):
-    """Per chunk: the languages' names, each n-gram with its language's number above it, each n-gram's text number, and of each
-    word the first and last symbol, its keys, its language's number and its text number."""
+def _chunks(lang: list, text: list):
+    """Per chunk of a limited number of characters: its texts, the numbers of the rows they are of, the languages' names, each text's language's number and salt."""
     own = list(_pieces([x or "" for x in text]))
     for a, b in chunks([len(t) for _, t in own], PIECE):
-        code, n, starts, ends, h, doc = _encode([t for _, t in own[a:b]])
         where = np.fromiter((i for i, _ in own[a:b]), np.int64, b - a)
         names = sorted({lang[i] or "" for i in where})
         number = {x: k for k, x in enumerate(names)}
         of = np.fromiter((number[lang[i] or ""] for i in where), np.int64, b - a)
-        salt = np.fromiter(map(_salt, names), np.uint64, len(names))[of[doc]]
-        words = starts, ends, _word_keys(h, doc, salt), of[doc], where[doc]
-        yield names, code | (np.repeat(of, n) << (BITS * ORDER)), np.repeat(where, n), words
+        yield [t for _, t in own[a:b]], where, names, of, np.fromiter(map(_salt, names), np.uint64, len(names))
+
+
+def _keys(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return (mix(h ^ salt) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
 def _count(batches):
@@ -179,13 +175,14 @@ def _count(batches):
 
     held = 0
     for batch in batches:
-        for names, code, _, _ in _batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            u, c = np.unique(code, return_counts=True)
+        for texts, _, names, of, _ in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            code, n, *_ = _encode(texts)
+            u, c = np.unique(code | (np.repeat(of, n) << (BITS * ORDER)), return_counts=True)
             cut = np.searchsorted(u, np.arange(len(names) + 1) << (BITS * ORDER))
             for k, name in enumerate(names):
                 total.setdefault(name, []).append((u[cut[k] : cut[k + 1]] & ((1 << BITS * ORDER) - 1), c[cut[k] : cut[k + 1]]))
             held += len(u)
-            if held > 3_000_000:
+            if held > 1_500_000:
                 for x in flush():
                     yield pa.RecordBatch.from_pandas(x, preserve_index=False)
                 held = 0
@@ -200,40 +197,45 @@ def ngram_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> Dat
 
 
 def _count_words(batches):
+    held: dict[str, list] = {}
+
+    def flush():
+        for name, parts in held.items():
+            word, n = (np.concatenate(x) for x in zip(*parts))
+            u, inv = np.unique(word, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array([name]).take(pa.array(np.zeros(len(u), np.int64))), pa.array(u), pa.array(np.bincount(inv, n, len(u)).astype(np.int64))], names=["lang", "word", "n"])
+        held.clear()
+
+    size = 0
     for batch in batches:
-        for names, _, _, (_, _, (pair, word, prior), of, _) in _batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            _, first, n = np.unique(pair, return_index=True, return_counts=True)
-            columns = [pa.array(names).take(pa.array(of[first])), pa.array(word[first]), pa.array(prior[first]), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "prior", "n"])
+        for texts, _, names, of, salt in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            *_, h, doc = _read(texts)
+            key, own = _keys(h, salt[of[doc]]), of[doc]
+            for k, name in enumerate(names):
+                u, n = np.unique(key[own == k], return_counts=True)
+                held.setdefault(name, []).append((u, n))
+                size += len(u)
+            if size > 1_000_000:
+                yield from flush()
+                size = 0
+    yield from flush()
 
 
 def word_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """(lang, word, prior, c): how often each bigram occurs in each language, over all rows; prior is the key of its first word."""
+    """(lang, word, c): how often each word occurs in each language, over all rows."""
     part = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text")).where(F.length("text") > 0)
-    rows = part.mapInArrow(_count_words, "lang string, word bigint, prior bigint, n bigint")
-    return rows.groupBy("lang", "word", "prior").agg(F.sum("n").alias("c"))
-
-
-def word_model(pairs: DataFrame) -> DataFrame:
-    """(key, v, back, scale): discounted counts v of each seen bigram and word; for each history, what it leaves to the lower order and
-    by what its bigrams' v are multiplied. A language is the history of its words. A key may have one row of each kind."""
-    words = pairs.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c"))
-    both = pairs.select("lang", F.lit(2).alias("ord"), "c").unionByName(words.select("lang", F.lit(1).alias("ord"), "c"))
-    sizes = F.broadcast(_discounts(both))  # one row a language and order
+    rows = part.mapInArrow(_count_words, "lang string, word bigint, n bigint")
+    return rows.groupBy("lang", "word").agg(F.sum("n").alias("c"))
 
-    def discounted(grams: DataFrame, order: int) -> DataFrame:
-        rows = grams.join(sizes.where(F.col("ord") == order).drop("ord"), "lang")
-        return rows.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
 
-    sums = (F.sum("d") / F.sum("c")).alias("back"), (1.0 / F.sum("c")).alias("scale")
-    v, none = (F.col("c") - F.col("d")).alias("v"), F.lit(None).cast("double")
-    pairs, words = discounted(pairs, 2), discounted(words, 1)
-    history = pairs.groupBy(F.col("prior").alias("key")).agg(*sums)
+def word_model(counts: DataFrame) -> DataFrame:
+    """(key, v): the discounted probability of each word, and under the key of each language what it leaves to words never seen."""
+    sizes = _discounts(counts.withColumn("ord", F.lit(1))).drop("ord")
+    sizes = sizes.join(counts.groupBy("lang").agg(F.sum("c").alias("all")), "lang")  # a row a language
+    rows = counts.join(F.broadcast(sizes), "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
     named = F.udf(lambda x: _root(x), "bigint")
-    root = words.groupBy("lang").agg(*sums).select(named("lang").alias("key"), "back", "scale")
-    turned = F.shiftright("word", TURN).bitwiseOR(F.shiftleft("word", KEY_BITS - TURN).bitwiseAND((1 << KEY_BITS) - 1))
-    grams = pairs.select(F.col("prior").bitwiseXOR(turned).alias("key"), v).unionByName(words.select(F.col("word").alias("key"), v))
-    return grams.select("key", "v", none.alias("back"), none.alias("scale")).unionByName(history.unionByName(root).select("key", none.alias("v"), "back", "scale"))
+    root = rows.groupBy("lang").agg((F.sum("d") / F.sum("c")).alias("v")).select(named("lang").alias("key"), "v")
+    return rows.select(F.col("word").alias("key"), ((F.col("c") - F.col("d")) / F.col("all")).alias("v")).unionByName(root)
 
 
 def _discounts(grams: DataFrame) -> DataFrame:
@@ -249,19 +251,34 @@ def _discounts(grams: DataFrame) -> DataFrame:
     return grams.groupBy("lang", "ord").agg(*n).select("lang", "ord", discount(1, 0.5).alias("d1"), discount(2, 1.0).alias("d2"), discount(3, 1.5).alias("d3"))
 
 
-WORD_VALUES = ("v", "back", "scale")
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences in as few bytes as the largest needs."""
+    step = np.diff(keys, prepend=0)
+    width = max(1, (int(step[1:].max(initial=0)).bit_length() + 7) // 8)
+    return step[:1].tobytes() + bytes([width]) + step[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    width = b[8]
+    step = np.zeros(((len(b) - 9) // width + 1, 8), np.uint8)
+    step[0] = np.frombuffer(b, np.uint8, 8)
+    step[1:, :width] = np.frombuffer(b, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(step.view(np.int64).ravel())
 
 
 def _asked(bits: int):
-    """Of each split the distinct keys of its words, bigrams and languages, a row for each shard: the sorted keys' differences."""
+    """Of each split the distinct keys of its words and languages, a row for each shard."""
+
     def rows(split: int, parts: list):
         u = np.unique(np.concatenate(parts))
         cut = np.searchsorted(u, np.arange((1 << bits) + 1, dtype=np.int64) << (KEY_BITS - bits))
-        for shard in np.flatnonzero(np.diff(cut)):
-            step = np.diff(u[cut[shard] : cut[shard + 1]], prepend=0)
-            width = max(1, (int(step[1:].max(initial=0)).bit_length() + 7) // 8)
-            packed = step[:1].tobytes() + bytes([width]) + step[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-            yield int(shard), split, packed
+        return [(int(shard), split, _packed(u[cut[shard] : cut[shard + 1]])) for shard in np.flatnonzero(np.diff(cut))]
+
+    def pack(held):
+        for split, parts in held.items():
+            out = rows(split, parts)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], names=["shard", "split", "keys"])
 
     def run(batches):
         held: dict[int, list] = {}
@@ -270,54 +287,38 @@ def _asked(bits: int):
             langs, texts, splits = (batch.column(i).to_pylist() for i in range(3))
             for split in set(splits):
                 at = [i for i, x in enumerate(splits) if x == split]
-                for names, _, _, (_, _, keys, _, _) in _batches([langs[i] for i in at], [texts[i] for i in at]):
-                    u = np.unique(np.concatenate([*keys, np.array([_root(x) for x in names], np.int64)]))
+                for own, _, names, of, salt in _chunks([langs[i] for i in at], [texts[i] for i in at]):
+                    *_, h, doc = _read(own)
+                    u = np.unique(np.concatenate([_keys(h, salt[of[doc]]), np.array([_root(x) for x in names], np.int64)]))
                     held.setdefault(split, []).append(u)
                     total += len(u)
-            if total > 2_000_000:
+            if total > 1_000_000:
                 yield from pack(held)
                 held, total = {}, 0
         yield from pack(held)
 
-    def pack(held):
-        for split, parts in held.items():
-            out = list(rows(split, parts))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], names=["shard", "split", "keys"])
-
     return run
 
 
-def _unpacked(b: bytes) -> np.ndarray:
-    width = b[8]
-    step = np.zeros(((len(b) - 9) // width + 1, 8), np.uint8)
-    step[0] = np.frombuffer(b, np.uint8, 8)
-    step[1:, :width] = np.frombuffer(b, np.uint8, offset=9).reshape(-1, width)
-    return np.cumsum(step.view(np.int64).ravel())
-
-
 def _found(asked: pa.Table, model: pa.Table) -> pa.Table:
     key = model.column("key").to_numpy()
-    values = np.stack([model.column(c).to_numpy(zero_copy_only=False) for c in WORD_VALUES], 1).astype(np.float32)
     by = np.argsort(key)
-    values, first = values[by], np.flatnonzero(np.diff(key[by], prepend=-1))
-    key = key[by][first]
-    values = np.fmax.reduceat(values, first) if len(key) else values  # the rows of a key are of different kinds
+    key, v = key[by], model.column("v").to_numpy()[by].astype(np.float32)
     out = []
     for split, packed in zip(asked.column("split").to_pylist(), asked.column("keys").to_pylist()) if len(key) else ():
         want = _unpacked(packed)
         at = np.minimum(np.searchsorted(key, want), len(key) - 1)
         hit = key[at] == want
         if hit.any():
-            out.append((split, want[hit].tobytes(), values[at[hit]].tobytes()))
+            out.append((split, _packed(want[hit]), v[at[hit]].tobytes()))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else ([],) * 3, (pa.int64(), pa.binary(), pa.binary()))], names=["split", "keys", "found"])
 
 
 def look_up(docs: DataFrame, model: DataFrame, rows: int, uri: str, lang: str, text: str, split: str) -> None:
-    """Write, by split, what the word model has for the words and bigrams of the texts; neither side is broadcast."""
+    """Write, by split, what the word model has for the words of the texts; neither side is broadcast."""
     bits = min(20, max(2, (rows // SHARD_ROWS).bit_length()))
     asked = docs.select(lang, text, split).where(F.length(text) > 0).mapInArrow(_asked(bits), "shard int, split bigint, keys binary")
-    sharded = model.select("key", *(F.col(c).cast("float") for c in WORD_VALUES)).withColumn("shard", F.shiftright("key", KEY_BITS - bits).cast("int"))
+    sharded = model.select("key", F.col("v").cast("float").alias("v")).withColumn("shard", F.shiftright("key", KEY_BITS - bits).cast("int"))
     found = asked.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_found, "split bigint, keys binary, found binary")
     # small row groups sorted by split, of which a reader skips all but its own
     found.sortWithinPartitions("split").write.option("parquet.block.size", 1 << 20).parquet(uri)
@@ -331,25 +332,21 @@ class Words:
 
         filesystem, path = local_path(uri)
         t = ds.dataset(path, filesystem=filesystem, format="parquet", schema=pa.schema([("split", pa.int64()), *((c, pa.binary()) for c in ("keys", "found"))])).to_table(filter=ds.field("split") == split)
-        key, values = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("keys", np.int64), ("found", np.float32)))
+        key = np.concatenate([np.empty(0, np.int64), *(_unpacked(b) for b in t.column("keys").to_pylist())])
+        v = np.frombuffer(b"".join(t.column("found").to_pylist()), np.float32)
         by = np.argsort(key)
-        self.key, values = key[by], values.reshape(-1, len(WORD_VALUES))[by]
-        self.v, self.back, self.scale = (np.ascontiguousarray(x) for x in values.T)
+        self.key, self.v = key[by], v[by]
 
-    def _get(self, values: np.ndarray, key: np.ndarray, missing: float) -> np.ndarray:
+    def _get(self, key: np.ndarray, missing: float) -> np.ndarray:
         if not len(self.key):
             return np.full(len(key), missing)
         u, inv = np.unique(key, return_inverse=True)  # sorted keys are searched much faster
         at = np.minimum(np.searchsorted(self.key, u), len(self.key) - 1)
-        x = np.where(self.key[at] == u, values[at], np.nan)
-        return np.where(np.isnan(x), missing, x)[inv]
-
-    def logp(self, keys: tuple, root: int, spelling: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the interpolated probability of each word after the one before it, given that of its spelling."""
-        pair, word, prior = keys
-        root = np.array([root])
-        one = self._get(self.v, word, 0.0) * self._get(self.scale, root, 0.0) + self._get(self.back, root, 1.0) * np.exp(spelling)
-        p = self._get(self.v, pair, 0.0) * self._get(self.scale, prior, 0.0) + self._get(self.back, prior, 1.0) * one
+        return np.where(self.key[at] == u, self.v[at], missing)[inv]
+
+    def logp(self, word: np.ndarray, root: int, spelling: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the interpolated probability of each word, given that of its spelling."""
+        p = self._get(word, 0.0) + self._get(np.array([root]), 1.0) * np.exp(spelling)
         return np.where(p > 1e-300, np.log(np.maximum(p, 1e-300)), spelling)
 
 
@@ -446,7 +443,9 @@ def score(docs: DataFrame, uri: str, word_uri: str, lang: str, text: str, split:
             total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for s in dict.fromkeys(splits):
                 rows = np.fromiter((i for i, x in enumerate(splits) if x == s), np.int64)
-                for names, code, where, (starts, ends, keys, of, owner) in _batches([langs[i] for i in rows], [texts[i] for i in rows]):
+                for own, where, names, of, salt in _chunks([langs[i] for i in rows], [texts[i] for i in rows]):
+                    code, size, starts, ends, h, doc = _encode(own)
+                    code |= np.repeat(of, size) << (BITS * ORDER)
                     u, inv = np.unique(code, return_inverse=True)
                     lp = np.zeros(len(u))
                     cut = np.searchsorted(u, np.arange(len(names) + 1) << (BITS * ORDER))
@@ -458,13 +457,14 @@ def score(docs: DataFrame, uri: str, word_uri: str, lang: str, text: str, split:
                     # the symbols of a word count by the word model, all others for themselves
                     sums = np.concatenate(([0.0], np.cumsum(np.nan_to_num(lp))))
                     spelling = sums[ends] - sums[starts]
-                    mine = np.zeros(len(starts))
+                    mine, key, lang_of = np.zeros(len(starts)), _keys(h, salt[of[doc]]), of[doc]
                     for k, name in enumerate(names):
-                        m = of == k
+                        m = lang_of == k
                         if m.any():
-                            mine[m] = _words(word_uri, s).logp(tuple(x[m] for x in keys), _root(name), spelling[m])
-                    total += np.bincount(rows[where], lp, len(texts)) + np.bincount(rows[owner], mine - spelling, len(texts))
-                    n += np.bincount(rows[where], minlength=len(texts))
+                            mine[m] = _words(word_uri, s).logp(key[m], _root(name), spelling[m])
+                    row_of = rows[where]
+                    total += np.bincount(np.repeat(row_of, size), lp, len(texts)) + np.bincount(row_of[doc], mine - spelling, len(texts))
+                    n += np.bincount(row_of, size, len(texts)).astype(np.int64)
             known = ~np.isnan(total) & (n > 0)
             columns = [*batch.columns, pa.array(np.where(known, total, 0.0), pa.float64(), mask=~known), pa.array(n)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -510,12 +510,13 @@ def quality_scores(
     counts = written(ngram_counts(training, name, text_col), "ngrams")
     model = kneser_ney(counts).repartition("lang", F.shiftright("code", 12)).sortWithinPartitions("lang", "ord", "kind", "code")
     model.write.parquet(uri)
-    pairs = written(word_counts(training, name, text_col), "bigrams")
+    words = written(word_counts(training, name, text_col), "words")
     word_uri = new_path(docs.sparkSession, "looked-up")
-    look_up(marked, word_model(pairs), pairs.count(), word_uri, name, text_col, split)
-    remove(docs.sparkSession, *{x.rsplit("/", 1)[0] for x in pairs.inputFiles()})
+    look_up(marked, word_model(words), words.count(), word_uri, name, text_col, split)
+    remove(docs.sparkSession, words, counts)
     scored = score(marked, uri, word_uri, name, text_col, split, lp, n)
     scored = written(scored.select(*carry, F.coalesce(F.col(lang_col), F.lit("")).alias(tid), tr, lp, n), "scored")
+    remove(docs.sparkSession, uri, word_uri)
     # a row a language from here on: bounded by the number of languages, so broadcast
     known = scored.where(F.col(lp).isNotNull() & F.col(tr))
     mean = known.groupBy(tid).agg((F.sum(lp) / F.sum(n)).alias(centre))
