@@ -385,7 +385,7 @@ def eps_pairs(points: DataFrame, eps: float, *, block: int = 1024) -> DataFrame:
     moved = listed.select(F.col("b").alias("ba"), "g0", "g1", shift.alias("o")).select("ba", (F.col("g0") + F.col("o.i")).alias("h0"), (F.col("g1") + F.col("o.j")).alias("h1"))
     pairs = moved.join(near, ["h0", "h1"]).select("ba", "bb")
     both = pairs.join(blocks.toDF("ba", "ia", "xa", "la"), "ba").join(blocks.toDF("bb", "ib", "xb", "lb"), "bb")
-    both = both.repartition(32 * points.sparkSession.sparkContext.defaultParallelism, "ba", "bb").select("ia", "xa", "la", "ib", "xb", "lb")
+    both = both.repartition(min(9 * listed.count(), 32 * points.sparkSession.sparkContext.defaultParallelism) or 1, "ba", "bb").select("ia", "xa", "la", "ib", "xb", "lb")
 
     def within(ids, x, _, others, y, __) -> pd.DataFrame:
         i, j = np.nonzero(products2(x, y) <= eps * eps * (1 + 1e-9) + 1e-9)

@@ -60,6 +60,7 @@ def near(train):
 def vectors(spark, d):
     rows = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     counts = text.term_counts(rows.withColumnRenamed("l_suppkey", "i"), "i", F.array(F.lower("p_brand"), F.lower("p_type")))
+    counts = written(counts, "counts")
     return text.tfidf(counts, "i", counts.agg(F.count_distinct("i")), min_df=1, max_share=2.0, terms=5000, smooth=True)
 
 
@@ -68,7 +69,7 @@ def scored(spark, d, future="test"):
     s = rec.split_by_year(written(interactions(spark, d), "interactions"), 1999, 2000)
     cands = written(rec.candidates(s["train"], s[future], suppliers(spark, d)), "candidates")
     nb = written(near(s["train"]), "neighbours")
-    return written(rec.content_scores(rec.cf_scores(cands, s["train"], nb), s["train"], vectors(spark, d)), "scored")
+    return written(rec.content_scores(rec.cf_scores(cands, s["train"], nb), s["train"], written(vectors(spark, d), "vectors")), "scored")
 
 
 def lists(spark, d, alpha=0.5):
