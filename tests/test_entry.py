@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SPREAD = [
     "scan_pruned_pushdown", "clean_json_props", "column_profile", "crosstab_normalised", "gapfill_hourly", "topk_per_group", "canonical_edges", "pagerank_bipartite",
     "modularity_by_label", "kmeans_assign", "dbscan_labels", "covariance_matrix", "item_item_pearson", "predict_rating", "tfidf_smooth", "cms_table", "weekly_index",
-    "stream_tumbling", "gini", "rating_attack_stress",
+    "stream_tumbling", "gini", "rating_attack_stress", "json_scan_inferred", "csv_scan_typed", "holiday_calendar", "asof_join_events", "rollup_orders", "lorenz_curve", "hits_bipartite",
 ]
 
 
