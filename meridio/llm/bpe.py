@@ -25,7 +25,7 @@ VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHIFT = 24
 NONE = np.int64(1) << 40
-CACHE_WORDS = 400_000  # words whose ids a worker remembers; beyond that it starts afresh
+CACHE_WORDS = 200_000  # words whose ids a worker remembers; beyond that it starts afresh
 PIECE = 1_500_000
 
 
