@@ -21,9 +21,12 @@ def trailing_hours(events: DataFrame, ts: str, widths: tuple[int, ...] = (1, 4,
 def sliding(events: DataFrame, keys: list[str], t: str, value: str, width: int, tie: list[str]) -> DataFrame:
     """Rows with count, total and average of the key's events in (t - width, t]; t is an integer time.
 
-    Of events at the same time each sees those before it in the order of `tie` and itself, as in a one-pass replay.
+    Of events at the same time each sees those before it in the order of `tie` and itself, as in a one-pass replay; without a
+    `tie` each sees all of them.
     """
     w = Window.partitionBy(*keys).orderBy(t).rangeBetween(-(width - 1), 0)
+    if not tie:
+        return events.withColumns({"count": F.count(F.lit(1)).over(w), "total": F.sum(value).over(w)}).withColumn("average", F.col("total") / F.col("count"))
     later = Window.partitionBy(*keys, t).orderBy(*[F.desc(c) for c in tie]).rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum(value).over(w) - F.coalesce(F.sum(value).over(later), F.lit(0))
     count = F.count(F.lit(1)).over(w) - F.count(F.lit(1)).over(later)
