@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """left with the `values` of the last row of right of the same `by` columns that isn't later; null where there is none.
@@ -37,6 +39,37 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: Column, start: Co
     return p.join(i, F.col("cell_of_point") == F.col("cell_of_interval")).where((start <= at) & (at < end)).drop("cell_of_point", "cell_of_interval")
 
 
+def interval_totals(points: DataFrame, intervals: DataFrame, at: str, value: str, start: str, end: str) -> DataFrame:
+    """intervals with n and total, the number of points with start <= at < end and the sum of their values; intervals without any are left out.
+
+    Each is a difference of two prefix sums, so no pairs are made: points are added up by time, prefix sums go by range partitions, and
+    an interval takes its two from one sorted pass. Times are integers. Sums are of decimals, which subtract without an error, of
+    values to ten places and below 1e16; nulls add nothing to total, which is null where there are only such.
+    """
+    exact = "decimal(38,10)"
+    own = points.where(F.col(at).isNotNull()).groupBy(F.col(at).alias("k_time"))
+    own = own.agg(F.count(F.lit(1)).alias("k_n"), F.count(value).alias("k_v"), F.sum(F.col(value).cast("decimal(28,10)")).cast(exact).alias("k_s"))
+    names = [f"l_{c}" for c in intervals.columns]
+    # an id of the contents finds an interval's two ends again; equal intervals have equal results and are counted
+    each = intervals.where(F.col(start) < F.col(end)).groupBy(*intervals.columns).agg(F.count(F.lit(1)).alias("k_copies")).toDF(*names, "k_copies")
+    ends = each.select(*names, "k_copies", F.explode(F.array(F.struct(F.col(f"l_{start}").alias("t"), F.lit(-1).alias("sign")), F.struct(F.col(f"l_{end}").alias("t"), F.lit(1).alias("sign")))).alias("x"))
+    ends = ends.select(*names, "k_copies", F.col("x.t").alias("k_time"), F.col("x.sign").alias("k_sign"))
+    both = own.withColumn("k_sign", F.lit(0)).unionByName(ends, allowMissingColumns=True)
+    # a range partition holds all rows of its times; sums before it are added after, a few rows of one number each
+    ordered = written(both.repartitionByRange("k_time").withColumn("k_part", F.spark_partition_id()), "interval-ends")
+    parts = ordered.groupBy("k_part").agg(*(F.sum(c).alias(f"p_{c}") for c in ("k_n", "k_v", "k_s")))
+    before = Window.orderBy("k_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("k_part", *(F.coalesce(F.sum(f"p_{c}").over(before), F.lit(0)).alias(f"o_{c}") for c in ("k_n", "k_v", "k_s")))
+    # at one time ends come before points: the sums are of what is earlier
+    w = Window.partitionBy("k_part").orderBy("k_time", F.when(F.col("k_sign") == 0, 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ordered.withColumns({f"s_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in ("k_n", "k_v", "k_s")}).where("k_sign <> 0")
+    sums = sums.join(F.broadcast(offsets), "k_part")
+    total = [F.sum(F.col("k_sign") * (F.col(f"s_{c}") + F.col(f"o_{c}")).cast(exact if c == "k_s" else "bigint")).alias(f"d_{c}") for c in ("k_n", "k_v", "k_s")]
+    out = sums.groupBy(*names, "k_copies").agg(*total).where("d_k_n > 0")
+    out = out.withColumn("k_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("k_copies"))))
+    return out.select(*(F.col(f"l_{c}").alias(c) for c in intervals.columns), F.col("d_k_n").cast("bigint").alias("n"), F.when(F.col("d_k_v") > 0, F.col("d_k_s").cast("double")).alias("total"))
+
+
 def full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """All rows of both sides, paired where the keys agree; keys are merged."""
     return left.join(right, keys, "full")
