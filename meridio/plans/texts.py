@@ -26,15 +26,20 @@ SMOOTH = _sql("[a-z][a-z'']{2,}", "[]::VARCHAR[]", 10, 0.55, 3000, "ln((1.0::DOU
 CORPUS = "corpus AS (SELECT source, string_agg(substring(text, 1, 250), ' ' ORDER BY doc_id) AS text FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 15 GROUP BY source)"
 
 
+def _by_document(spark, d):
+    """Documents laid out by key: counts and lengths are then taken where the texts are, and both readings share the exchange."""
+    return t(spark, d, "documents").select("doc_id", "text", "lang", "source").repartition("doc_id")
+
+
 def plain(spark, d):
-    docs = t(spark, d, "documents")
+    docs = _by_document(spark, d)
     counts = text.term_counts(docs, "doc_id", F.concat(tokens_plain(F.col("text")), F.array("lang", "source")))
-    return text.tfidf(counts, "doc_id", docs.agg(F.count(F.lit(1))), min_df=10, max_share=0.6, terms=5000, smooth=False)
+    return text.tfidf(counts, "doc_id", t(spark, d, "documents").agg(F.count(F.lit(1))), min_df=10, max_share=0.6, terms=5000, smooth=False)
 
 
 def smooth(spark, d):
-    docs = t(spark, d, "documents")
-    return text.tfidf(text.term_counts(docs, "doc_id", tokens_apostrophe(F.col("text"))), "doc_id", docs.agg(F.count(F.lit(1))), min_df=10, max_share=0.55, terms=3000, smooth=True)
+    docs = _by_document(spark, d)
+    return text.tfidf(text.term_counts(docs, "doc_id", tokens_apostrophe(F.col("text"))), "doc_id", t(spark, d, "documents").agg(F.count(F.lit(1))), min_df=10, max_share=0.55, terms=3000, smooth=True)
 
 
 @query("corpus_snippets", f"WITH {CORPUS} SELECT source, text FROM corpus")
