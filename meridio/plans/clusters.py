@@ -84,7 +84,7 @@ def kmeans_init_stability(spark, d):
 
 @query("kmeans_k_sweep")
 def kmeans_k_sweep(spark, d):
-    return c.k_sweep(written(points(spark, d).drop("label"), "points"), list(range(2, 11)))
+    return c.k_sweep(t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), list(range(2, 11)))
 
 
 _CURVE = "curve AS (SELECT CAST(day(ts) AS INTEGER) AS k, sum(value) AS sse FROM events GROUP BY 1)"
