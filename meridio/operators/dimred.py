@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
-from ..sources.shared import written
+from ..sources.shared import remove, written
+
+#: Columns up to which a number for each of them is sent to tasks and to the driver.
+SMALL_COLUMNS = 50_000
 
 
 def covariance(points: DataFrame) -> DataFrame:
@@ -118,16 +124,126 @@ def _orthonormal(rows: DataFrame) -> DataFrame:
     return written(rows, "svd")
 
 
-def randomised_svd(matrix: DataFrame, k: int, *, oversample: int = 12, powers: int = 2, seed: int = 42, row: str = "row", col: str = "col", value: str = "value") -> tuple[np.ndarray, DataFrame, DataFrame]:
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), m.ravel())
+
+
+class RowMatrix:
+    """A sparse matrix by rows: a table (row, at ARRAY<INT>, x ARRAY<DOUBLE>) in the shared folder; at has places in `names`, an Arrow array of the columns in order."""
+
+    def __init__(self, rows: DataFrame, names: pa.Array):
+        # a task sends a sum for each column, so there are only so many tasks
+        self.rows, self.names = rows.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism), names
+
+    def size(self) -> tuple[float, int, int]:
+        """The sum of squares, the number of rows and the number of entries."""
+        r = self.rows.agg(F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)), F.count(F.lit(1)), F.sum(F.size("x"))).first()
+        return r[0] or 0.0, r[1], r[2] or 0
+
+    def products(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the matrix A: A transposed times A z, and A z transposed times A z, in one pass over the rows."""
+        (n, w), zt = z.shape, np.ascontiguousarray(z.T)
+
+        def run(batches):
+            m, g = np.zeros((w, n)), np.zeros((w, w))
+            for b in batches:
+                if b.num_rows:
+                    of, at, x = _entries(b.column(0), b.column(1))
+                    y = np.stack([np.bincount(of, x * zt[j][at], minlength=b.num_rows) for j in range(w)])
+                    for j in range(w):
+                        m[j] += np.bincount(at, x * y[j][of], minlength=n)
+                    g += y @ y.T
+            seen = np.flatnonzero(m.any(0))
+            if len(seen):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((seen, np.arange(n, n + w))).astype(np.int32)), _lists(np.concatenate((m[:, seen].T, g)))], names=["k", "v"])
+
+        parts = self.rows.select("at", "x").mapInArrow(run, "k int, v array<double>")
+        sums = parts.groupBy("k").agg(F.array(*(F.sum(F.col("v")[j]) for j in range(w))).alias("v")).toArrow()
+        out = np.zeros((n + w, w))
+        if sums.num_rows:
+            out[sums["k"].to_numpy()] = sums["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, w)
+        return out[:n], out[n:]
+
+    def times(self, z: np.ndarray) -> DataFrame:
+        """(row, v): the matrix times z."""
+        zt, row = np.ascontiguousarray(z.T), self.rows.schema[0]
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    of, at, x = _entries(b.column(1), b.column(2))
+                    y = np.stack([np.bincount(of, x * c[at], minlength=b.num_rows) for c in zt], 1)
+                    yield pa.RecordBatch.from_arrays([b.column(0), _lists(y)], names=[row.name, "v"])
+
+        return self.rows.mapInArrow(run, StructType([row]).add("v", ArrayType(DoubleType())))
+
+
+def _entries(at: pa.Array, x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row of each entry of a batch of rows, its column and its value."""
+    lengths = np.diff(at.offsets.to_numpy())
+    return np.repeat(np.arange(len(at)), lengths), at.flatten().to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False)
+
+
+def row_matrix(matrix: DataFrame, row: str, col: str, value: str, most: int = SMALL_COLUMNS) -> RowMatrix | DataFrame:
+    """A sparse (row, col, value) by rows; as a table of its entries, if there are more than `most` columns. The input is read once."""
+    spark = matrix.sparkSession
+    entries = written(matrix.groupBy(row).agg(F.collect_list(F.struct(F.col(col).alias("col"), F.col(value).cast("double").alias("value"))).alias("entries")), "svd")
+    names = entries.select(F.explode("entries.col").alias("col")).distinct().limit(most + 1).toArrow()["col"].combine_chunks()
+    if len(names) > most:
+        return entries.select(row, F.explode("entries").alias("e")).select(row, F.col("e.col").alias(col), F.col("e.value").alias(value))
+    names = names.take(pc.sort_indices(names))
+
+    def numbered(batches):
+        for b in batches:
+            lists = b.column(1)
+            ends = pc.subtract(lists.offsets, lists.offsets[0])
+            at = pa.ListArray.from_arrays(ends, pc.index_in(lists.flatten(), value_set=names))
+            yield pa.RecordBatch.from_arrays([b.column(0), at, b.column(2)], names=[row, "at", "x"])
+
+    schema = StructType([entries.schema[0]]).add("at", ArrayType(IntegerType())).add("x", ArrayType(DoubleType()))
+    rows = written(entries.select(row, "entries.col", "entries.value").mapInArrow(numbered, schema), "svd")
+    remove(spark, entries)
+    return RowMatrix(rows, names)
+
+
+def _noise(col: str, w: int, seed: int) -> list:
+    return [(F.sqrt(-2 * F.ln((F.pmod(F.xxhash64(F.col(col), F.lit(2 * j + seed)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1))) * F.cos(2 * np.pi * F.pmod(F.xxhash64(F.col(col), F.lit(2 * j + seed + 1)), F.lit(1 << 40)) / float(1 << 40))) for j in range(w)]
+
+
+def randomised_svd(matrix: DataFrame | RowMatrix, k: int, *, oversample: int = 12, powers: int = 2, seed: int = 42, row: str = "row", col: str = "col", value: str = "value") -> tuple[np.ndarray, DataFrame, DataFrame]:
     """(singular values, U rows (row, v), V rows (col, v)) of a sparse matrix, the largest entry of each V column positive.
 
     A random projection of k + oversample columns, `powers` power iterations with orthonormalisation, and an exact small
-    problem. Only (k + oversample)-squared numbers reach the driver. Needs k below both sides' lengths.
+    problem. Needs k below both sides' lengths. With up to SMALL_COLUMNS columns, a pass over the rows sends k + oversample
+    numbers for each column to the driver, and nothing else is shuffled; with more, the products are shuffled by entries and
+    only (k + oversample)-squared numbers reach the driver.
     """
-    w = k + oversample
+    if isinstance(matrix, DataFrame):
+        matrix = row_matrix(matrix, row, col, value)
+    if isinstance(matrix, DataFrame):
+        return _svd_by_entries(matrix, k, k + oversample, powers, seed, row, col, value)
+    spark = matrix.rows.sparkSession
+    columns = spark.createDataFrame(pa.table({col: matrix.names}))
+    z = np.array(columns.select(col, F.array(*_noise(col, k + oversample, seed)).alias("v")).orderBy(col).toArrow()["v"].to_pylist(), float).reshape(len(matrix.names), -1)
+    for _ in range(powers):
+        z = np.linalg.qr(matrix.products(np.linalg.qr(z)[0])[0])[0]
+    for _ in range(2):  # the columns of A z made orthonormal by their Gram matrix, twice over for accuracy
+        b, gram = matrix.products(z)
+        values, vectors = np.linalg.eigh(gram)
+        keep = values > max(values.max(initial=0), 1e-300) * 1e-12
+        t = vectors[:, keep] / np.sqrt(values[keep])
+        z, b = z @ t, b @ t
+    values, vectors = np.linalg.eigh(b.T @ b)
+    by = np.argsort(values)[::-1][:k]
+    sigma = np.sqrt(np.clip(values[by], 0, None))
+    v = b @ vectors[:, by] / np.where(sigma > 0, sigma, 1)
+    sign = np.where(v[np.abs(v).argmax(0), np.arange(len(by))] >= 0, 1.0, -1.0) if len(v) else np.ones(len(by))
+    return sigma, matrix.times(z @ vectors[:, by] * sign), spark.createDataFrame(pa.table({col: matrix.names, "v": _lists(v * sign)}))
+
+
+def _svd_by_entries(matrix: DataFrame, k: int, w: int, powers: int, seed: int, row: str, col: str, value: str) -> tuple[np.ndarray, DataFrame, DataFrame]:
     cols = matrix.select(col).distinct()
-    noise = [(F.sqrt(-2 * F.ln((F.pmod(F.xxhash64(F.col(col), F.lit(2 * j + seed)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1))) * F.cos(2 * np.pi * F.pmod(F.xxhash64(F.col(col), F.lit(2 * j + seed + 1)), F.lit(1 << 40)) / float(1 << 40))) for j in range(w)]
-    q = _orthonormal(multiply(matrix, cols.select(col, F.array(*noise).alias("v")), row, col, value, col))
+    q = _orthonormal(multiply(matrix, cols.select(col, F.array(*_noise(col, w, seed)).alias("v")), row, col, value, col))
     for _ in range(powers):
         z = _orthonormal(multiply(matrix, q, col, row, value, row))
         q = _orthonormal(multiply(matrix, z, row, col, value, col))

@@ -67,18 +67,16 @@ def content_cosine_topk(spark, d):
 
 
 def _svd(spark, d, k=8):
-    from ..sources.shared import written
-
-    m = written(smooth(spark, d), "tfidf")
-    return m, dimred.randomised_svd(m, k, row="doc_id", col="term", value="w")
+    m = dimred.row_matrix(smooth(spark, d), "doc_id", "term", "w")  # at most 3000 terms
+    return m, dimred.randomised_svd(m, k, col="term")
 
 
 @query("svd_energy")
 def svd_energy(spark, d):
     m, (sigma, _, _) = _svd(spark, d)
-    size = m.agg(F.sum(F.col("w") * F.col("w")).alias("e"), F.count_distinct("doc_id").alias("n"), F.count_distinct("term").alias("m"), F.count(F.lit(1)).alias("nnz")).first()
-    part = np.cumsum(sigma**2) / size.e
-    rows = [(k + 1, float(sigma[k]), float(part[k]), float(np.sqrt(max(0, 1 - part[k]))), int((size.n + size.m + 1) * (k + 1)), float(size.n * size.m / ((size.n + size.m + 1) * (k + 1)))) for k in range(len(sigma))]
+    (energy, n, _), terms = m.size(), len(m.names)
+    part = np.cumsum(sigma**2) / (energy or 1.0)
+    rows = [(k + 1, float(sigma[k]), float(part[k]), float(np.sqrt(max(0, 1 - part[k]))), int((n + terms + 1) * (k + 1)), float(n * terms / ((n + terms + 1) * (k + 1)))) for k in range(len(sigma))]
     return spark.createDataFrame(rows, "k int, sigma double, captured double, error double, parameters bigint, dense_ratio double")
 
 
