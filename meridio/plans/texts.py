@@ -67,7 +67,8 @@ def content_cosine_topk(spark, d):
 
 
 def _svd(spark, d, k=8):
-    m = dimred.row_matrix(smooth(spark, d), "doc_id", "term", "w")  # at most 3000 terms
+    n = t(spark, d, "documents").agg(F.count(F.lit(1)))
+    m = text.tfidf_matrix(t(spark, d, "documents"), "doc_id", tokens_apostrophe(F.col("text")), n, min_df=10, max_share=0.55, terms=3000, smooth=True)
     return m, dimred.randomised_svd(m, k, col="term")
 
 

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from meridio.operators import dimred
+from meridio.functions.columns import tokens_plain
+from meridio.operators import dimred, text
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +38,17 @@ def test_svd_by_rows_shuffles_no_products(sparse, monkeypatch):
     assert np.abs(b - a.T @ (a @ z)).max() < 1e-9 and np.abs(g - (a @ z).T @ (a @ z)).max() < 1e-9
     sigma, u, v = dimred.randomised_svd(rows, 4)
     assert len(sigma) == 4 and u.count() == (a != 0).any(1).sum() and v.count() == 40
+
+
+@pytest.mark.parametrize("smooth", [True, False])
+def test_weights_by_rows_are_tfidf(spark, smooth):
+    texts = ["ape bee ape cat", "bee cat ape", "cat dog", "", None, "dog emu emu emu", "the", "cat ape", "zzz"]
+    rows = [*enumerate(texts), (2, "ape"), (5, "dog bee")]  # texts of one key in several rows
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(5)
+    how = {"min_df": 2, "max_share": 0.5, "terms": 3, "smooth": smooth}
+    n, tokens = docs.agg(F.count(F.lit(1))), tokens_plain(F.col("text"))
+    want = {(r.id, r.term): r.w for r in text.tfidf(text.term_counts(docs, "id", tokens), "id", n, **how).collect()}
+    m = text.tfidf_matrix(docs, "id", tokens, n, **how)
+    got = {(r.id, m.names[i].as_py()): x for r in m.rows.collect() for i, x in zip(r.at, r.x)}
+    assert len(want) > 8 and got == pytest.approx(want)
+    assert sorted(r.id for r in m.rows.collect()) == sorted({i for i, _ in want})
